@@ -37,6 +37,12 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify_language
+
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import predict_toxicity
 
@@ -53,12 +59,20 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("dropped")).alias("n_kept"), "dropped")
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import document_fingerprints
+
+    return document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op5_language_id": op5_language_id,
     "op6_toxicity": op6_toxicity,
     "op7_line_dedup": op7_line_dedup,
+    "op8_fingerprints": op8_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {
