@@ -258,7 +258,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return joined.mapInArrow(_verify_pass(num, den), "u long, v long")
 
 
-def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, rounds: int = 4) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, rounds: int = 6) -> DataFrame:
     """(doc_id, n_shingles, component_id): components under Jaccard similarity >= num/den of word-shingle sets."""
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -285,7 +285,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 75, den: int
     tokens = materialize(
         members.join(roster.where("cls = rep").select("cls"), "cls", "left_semi")
         .select(F.col("cls").alias("rep"), "n", "lead", F.posexplode("prefix").alias("pos", "token"))
-        .select("rep", "n", (F.col("lead") + F.col("pos")).alias("place"), "token", F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num))).alias("scale")),
+        .select("rep", "n", "lead", (F.col("lead") + F.col("pos")).alias("place"), "token", F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num))).alias("scale")),
         "ngram-tokens",
     )
     links = materialize(_verified(roster.where("cls <> rep").select(F.col("cls").alias("u"), F.col("rep").alias("v")), members, num, den), "ngram-links")
@@ -293,7 +293,9 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 75, den: int
     comp = materialize(connected_components(_all(found)), "ngram-comp")
     for k in range(rounds):
         labelled = _labelled(tokens, comp)
-        centre = labelled.groupBy("token", "scale").agg(F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("o"), "rep", "comp")).alias("c"))
+        # first the class with the fewest shingles of its own, from which the others of a family derive; then any
+        own = (F.col("lead") / F.col("n") if k == 0 else F.lit(0.0)).alias("own")
+        centre = labelled.groupBy("token", "scale").agg(F.min(F.struct(own, F.xxhash64("rep", F.lit(k)).alias("o"), "rep", "comp")).alias("c"))
         pick = labelled.join(centre, ["token", "scale"]).where("comp <> c.comp").groupBy("rep").agg(F.min("c").alias("c")).select(F.col("rep").alias("u"), F.col("c.rep").alias("v"))
         pick = materialize(pick, "ngram-pick")
         if pick.isEmpty():
@@ -308,12 +310,17 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 75, den: int
     labelled = _labelled(tokens, comp)
     a, b = (labelled.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "place", "comp"))) for s in "ab")
     na, nb = F.col("n_a"), F.col("n_b")
-    reach = 1 + F.least(na - F.col("place_a") - 1, nb - F.col("place_b") - 1)
+    # a is the smaller: its shorter index prefix is enough (Xiao et al. 2008)
+    ordered = (na < nb) | ((na == nb) & (F.col("rep_a") < F.col("rep_b")))
+    indexed = F.col("place_a") <= na - F.ceil(na * (2 * num / (num + den)) - 1e-9)
+    met = a.join(b, "token").where(ordered & indexed & (F.col("comp_a") != F.col("comp_b")) & (den * na >= num * nb))
+    # shared prefix shingles are all that precede the last of them
+    rest = F.least(na - F.col("last_a") - 1, nb - F.col("last_b") - 1)
     pairs = (
-        a.join(b, "token")
-        .where((F.col("comp_a") < F.col("comp_b")) & (den * na >= num * nb) & (den * nb >= num * na) & ((num + den) * reach >= num * (na + nb)))
-        .select(F.col("rep_a").alias("ra"), F.col("rep_b").alias("rb"))
-        .distinct()
+        met.groupBy(F.col("rep_a").alias("ra"), F.col("rep_b").alias("rb"))
+        .agg(F.first(na).alias("n_a"), F.first(nb).alias("n_b"), F.count("*").alias("c"), F.max("place_a").alias("last_a"), F.max("place_b").alias("last_b"))
+        .where((num + den) * (F.col("c") + rest) >= num * (na + nb))
+        .select("ra", "rb")
     )
     # group pairs expand to their members
     ma, mb = (roster.select(F.col("rep").alias(r), F.col("cls").alias(c)) for r, c in (("ra", "u"), ("rb", "v")))
