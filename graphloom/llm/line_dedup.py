@@ -41,8 +41,7 @@ class Powers:
         if n >= len(self.up):
             size = 2 * n + 64
             with np.errstate(over="ignore"):
-                self.up = np.cumprod(np.concatenate([[1], np.full(size, BASE, np.uint64)]).astype(np.uint64), dtype=np.uint64)
-                self.down = np.cumprod(np.concatenate([[1], np.full(size, INVERSE, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+                self.up, self.down = (np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, b, np.uint64), dtype=np.uint64)]) for b in (BASE, INVERSE))
         return self.up, self.down
 
 
