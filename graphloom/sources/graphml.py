@@ -11,6 +11,8 @@ from ..graph import Graph
 from ..operators.style import size_from_attr
 from ..plans.ordering import dense_ids
 
+#: Columns of ours: attributes of these names are read as attr_<name>, and not written.
+OWN = {"id", "src", "dst", "xml_id"}
 DATA = "data array<struct<_key:string,_VALUE:string>>"
 SCHEMAS = {
     "key": "_id string, _for string, `_attr.name` string, `_attr.type` string",
@@ -33,8 +35,9 @@ def _attributes(df: DataFrame, keys: list, kind: str) -> DataFrame:
     out = df.withColumn("__m", value)
     for k in keys:
         if k["_for"] in (kind, "all"):
-            raw = F.trim(F.get(F.map_values(F.map_filter("__m", lambda a, b, i=k["_id"]: a == i)), F.lit(0)))
-            out = out.withColumn(k["attr"], raw.try_cast(TYPES[k["type"]]) if k["type"] in TYPES else raw)
+            raw = F.trim(F.try_element_at("__m", F.lit(k["_id"])))
+            name = f"attr_{k['attr']}" if k["attr"] in OWN else k["attr"]
+            out = out.withColumn(name, raw.try_cast(TYPES[k["type"]]) if k["type"] in TYPES else raw)
     return out.drop("__m", "data")
 
 
@@ -47,11 +50,11 @@ def read_graphml(spark: SparkSession, path: str, node_attr: str = "pagerank", ed
     keys = [{"_id": r[0], "_for": r[1], "attr": r[2], "type": r[3]} for r in _scan(spark, path, "key").distinct().collect()]  # a row per declared attribute
     head = _scan(spark, path, "graph").select("_edgedefault").first()
     directed = head is not None and head[0] == "directed"
-    nodes = _attributes(_scan(spark, path, "node"), keys, "node").withColumnRenamed("_id", "name")
+    nodes = _attributes(_scan(spark, path, "node"), keys, "node").withColumnRenamed("_id", "xml_id")
     nodes = _numbered(nodes)
-    m = nodes.select("name", "id")
+    m = nodes.select("xml_id", "id")
     edges = _attributes(_scan(spark, path, "edge"), keys, "edge").drop("_id")
-    edges = edges.join(m.select(F.col("name").alias("_source"), F.col("id").alias("src")), "_source").join(m.select(F.col("name").alias("_target"), F.col("id").alias("dst")), "_target").drop("_source", "_target")
+    edges = edges.join(m.select(F.col("xml_id").alias("_source"), F.col("id").alias("src")), "_source").join(m.select(F.col("xml_id").alias("_target"), F.col("id").alias("dst")), "_target").drop("_source", "_target")
     g = Graph(nodes, edges, directed)
     if simplify:
         attrs = [c for c in edges.columns if c not in ("src", "dst")]
@@ -61,11 +64,11 @@ def read_graphml(spark: SparkSession, path: str, node_attr: str = "pagerank", ed
 
 def _numbered(nodes: DataFrame) -> DataFrame:
     """Dense ids by name: by number where every name is n and digits, else by hash order of distinct names."""
-    number = F.regexp_extract("name", r"^\D*(\d{1,18})$", 1)
+    number = F.regexp_extract("xml_id", r"^\D*(\d{1,18})$", 1)
     plain = nodes.withColumn("__n", F.when(number != "", number.cast("long")))
     if plain.where("__n is null").isEmpty() and plain.select("__n").distinct().count() == plain.count():
         return dense_ids(plain, "__n").drop("__n")
-    return dense_ids(nodes.withColumn("__n", F.xxhash64("name")), "__n").drop("__n")
+    return dense_ids(nodes.withColumn("__n", F.xxhash64("xml_id")), "__n").drop("__n")
 
 
 def write_graphml(graph: Graph, path: str) -> None:
@@ -75,8 +78,8 @@ def write_graphml(graph: Graph, path: str) -> None:
 
     kinds = {"int": "int", "bigint": "long", "double": "double", "float": "float", "boolean": "boolean"}
     heads, body = [], []
-    for part, df, fixed in (("node", graph.vertices, ("id",)), ("edge", graph.edges, ("src", "dst"))):
-        attrs = [(c, t) for c, t in df.dtypes if c not in fixed and not t.startswith(("array", "struct", "map"))]
+    for part, df in (("node", graph.vertices), ("edge", graph.edges)):
+        attrs = [(c, t) for c, t in df.dtypes if c not in OWN and not t.startswith(("array", "struct", "map"))]
         heads += [f'<key id={quoteattr(part + "_" + c)} for="{part}" attr.name={quoteattr(c)} attr.type="{kinds.get(t, "string")}"/>' for c, t in attrs]
         escaped = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(c).cast("string"), "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
         data = F.concat(F.lit(""), *(F.coalesce(F.concat(F.lit(f"<data key={quoteattr(part + '_' + c)}>"), escaped(c), F.lit("</data>")), F.lit("")) for c, _ in attrs))
