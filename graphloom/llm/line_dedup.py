@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, mix64
+from .common import discard, materialize, mix64, text_slices
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -53,9 +53,10 @@ def prefix_sums(words: list[bytes], powers: Powers) -> np.ndarray:
         return np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[: len(h)], dtype=np.uint64)])
 
 
-def _key(x, n: int) -> np.ndarray:
+def _key(x, n) -> np.ndarray:
+    """A signed key of a sum of words and their number (or anything that tells kinds of keys apart)."""
     with np.errstate(over="ignore"):
-        return mix64(np.asarray(x, np.uint64) + np.uint64(n) * np.uint64(0xD6E8FEB86659FD93)).astype(np.int64)
+        return mix64(np.asarray(x, np.uint64) + np.asarray(n).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).astype(np.int64)
 
 
 def variant_keys(c: np.ndarray) -> np.ndarray:
@@ -64,16 +65,21 @@ def variant_keys(c: np.ndarray) -> np.ndarray:
         return _key(c[:-1] + (c[-1] - c[1:]) * np.uint64(INVERSE), len(c) - 2)
 
 
-def half_keys(c: np.ndarray, powers: Powers) -> list[int]:
-    """Keys of the first and last halves, both roundings of the half."""
-    n = len(c) - 1
-    _, down = powers(n)
-    out = []
+def line_keys(words: list[bytes], lens: np.ndarray, least: int, powers: Powers) -> tuple[np.ndarray, pa.Array]:
+    """Of consecutive lines of `lens` words each: keys of the whole lines, and lists of the keys of their first and
+    last halves, for both roundings of the half; none for lines of under `least` words."""
+    c = prefix_sums(words, powers)
+    _, down = powers(len(words))
+    end = np.cumsum(lens)
+    start = end - lens
     with np.errstate(over="ignore"):
-        for k in {n // 2, (n - 1) // 2}:
-            out.append(int(_key(c[k], 2 * k)))
-            out.append(int(_key((c[n] - c[n - k]) * down[n - k], 2 * k + 1)))
-    return out
+        part = lambda a, b: (c[b] - c[a]) * down[a]
+        whole = _key(part(start, end), lens)
+        k, j = lens // 2, (lens - 1) // 2
+        halves = np.column_stack([_key(part(a, b), 2 * m + side) for m in (k, j) for side, a, b in ((0, start, start + m), (1, end - m, end))])
+    used = np.column_stack([lens >= least] * 2 + [(lens >= least) & (k != j)] * 2)
+    offsets = np.concatenate([[0], np.cumsum(used.sum(1))]).astype(np.int32)
+    return whole, pa.ListArray.from_arrays(pa.array(offsets), pa.array(halves[used]))
 
 
 def within_one_edit(a: list, b: list) -> bool:
@@ -94,18 +100,19 @@ def _lines_pass(least: int):
     def run(batches):
         powers = Powers()
         for b in batches:
-            ids, no, n, whole, halves = [], [], [], [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
-                for k, line in enumerate(text.split(b"\n") if text is not None else ()):
-                    words = line.split()
-                    if words:
-                        c = prefix_sums(words, powers)
-                        ids.append(doc)
-                        no.append(k)
-                        n.append(len(words))
-                        whole.append(int(_key(c[-1], len(words))))
-                        halves.append(half_keys(c, powers) if len(words) >= least else [])
-            yield pa.RecordBatch.from_pydict({"doc_id": ids, "line": no, "n": n, "whole": whole, "halves": halves}, schema=schema)
+            docs, texts = b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()
+            for lo, hi in text_slices(texts):
+                ids, no, lens, words = [], [], [], []
+                for doc, text in zip(docs[lo:hi], texts[lo:hi]):
+                    for k, line in enumerate(text.split(b"\n") if text is not None else ()):
+                        if w := line.split():
+                            ids.append(doc)
+                            no.append(k)
+                            lens.append(len(w))
+                            words += w
+                n = np.array(lens, np.int64)
+                whole, halves = line_keys(words, n, least, powers)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(no, pa.int32()), pa.array(n.astype(np.int32)), pa.array(whole), halves], schema=schema)
 
     return run
 
