@@ -42,10 +42,13 @@ def lexicon(docs: DataFrame, n_docs: int, rare: int = RARE, common: int = COMMON
 
 
 def _masked(terms: Column, level: Column) -> Column:
-    return F.filter(terms, lambda h: h.bitwiseAND(F.pow(F.lit(2.0), level).cast("long") - 1) == 0)
+    """The terms of the random sublexicon of share 2**-level."""
+    return F.filter(terms, lambda h: h.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1) == 0)
 
 
 def _subsets(terms: Column, parts: int) -> Column:
+    """The hash of each random subset's sorted terms, null for an empty one.  terms: a plain column, as it is read once per subset."""
+
     def one(k: Column) -> Column:
         own = F.filter(terms, lambda h: F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(parts - 1).cast("long")) == k)
         return F.when(F.size(own) > 0, F.xxhash64(own))
@@ -72,11 +75,18 @@ def likeness(a: dict[str, Column], b: dict[str, Column]) -> Column:
     )
 
 
-def _fingerprint(terms: Column, bare: Column, parts: int) -> Column:
-    """Struct of what likeness() needs."""
-    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.size(terms), F.lit(1)) / float(parts)))).cast("int")
-    kept = _masked(terms, level)
-    return F.struct(level.alias("level"), _subsets(kept, parts).alias("here"), _subsets(_masked(kept, level + 1), parts).alias("next"), F.when(F.size(terms) == 0, bare).alias("bare"))
+def _fingerprints(df: DataFrame, names: dict[str, tuple[str, str]], parts: int) -> DataFrame:
+    """df with a struct of what likeness() needs under each name, from its columns of sorted terms and of the bare hash.
+
+    One projection after the other: each is used more than once by the next, so none is folded into it.
+    """
+    rest = [c for c in df.columns if c not in {t for t, _ in names.values()}]
+    level = lambda t: F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.size(t), F.lit(1)) / float(parts)))).cast("int")
+    df = df.select(*rest, *(c for n, (t, _) in names.items() for c in (F.col(t), level(t).alias(f"{n}_level"))))
+    df = df.select(*rest, *(c for n, (t, _) in names.items() for c in (F.size(t).alias(f"{n}_size"), F.col(f"{n}_level"), _masked(F.col(t), F.col(f"{n}_level")).alias(f"{n}_kept"))))
+    df = df.select(*rest, *(c for n in names for c in (F.col(f"{n}_size"), F.col(f"{n}_level"), F.col(f"{n}_kept"), _masked(F.col(f"{n}_kept"), F.col(f"{n}_level") + 1).alias(f"{n}_fewer"))))
+    full = lambda n, bare: F.struct(F.col(f"{n}_level").alias("level"), _subsets(F.col(f"{n}_kept"), parts).alias("here"), _subsets(F.col(f"{n}_fewer"), parts).alias("next"), F.when(F.col(f"{n}_size") == 0, F.col(bare)).alias("bare"))
+    return df.select(*rest, *(full(n, bare).alias(n) for n, (_, bare) in names.items()))
 
 
 def _text(fp: str) -> Column:
@@ -128,7 +138,7 @@ def document_fingerprints(docs: DataFrame, rare: int = RARE, common: int = COMMO
     found = single.join(F.broadcast(band), "term", "left")
     side = lambda k: F.array_sort(F.collect_list(F.when((F.col("side") == k) & F.col("in_band"), F.col("term"))))
     lists = found.groupBy("bucket", "place").agg(*(F.first(c).alias(c) for c in keys[2:]), side(0).alias("own"), side(1).alias("new"))
-    marked = lists.select("bucket", "place", "guest", "doc_id", "n_chars", "edited_sha256", _fingerprint(F.col("own"), F.col("own_bare"), parts).alias("fp"), _fingerprint(F.col("new"), F.col("new_bare"), parts).alias("efp"))
+    marked = _fingerprints(lists, {"fp": ("own", "own_bare"), "efp": ("new", "new_bare")}, parts)
     last = marked.withColumn("nfp", F.lead("fp").over(Window.partitionBy("bucket").orderBy("place"))).where("not guest")
     as_dict = lambda c: {k: F.col(f"{c}.{k}") for k in ("level", "here", "next", "bare")}
     return last.select(
