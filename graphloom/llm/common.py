@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -92,28 +92,23 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     join; rounds grow with the logarithm of the longest path.  Self-loops keep a
     lone node; null ends are ignored; an empty input gives an empty result.
     """
-    spark = edges.sparkSession
     e = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u is not null and v is not null")
-    nodes = None
-    seen = None
-    for k in range(max_rounds):
-        both = e.where("u <> v").union(e.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v")))
-        if k == 0:
-            nodes = materialize(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).select("u").distinct(), "cc-nodes")
+    ends = e.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    seen, kept = None, []
+    for _ in range(max_rounds):
+        both = e.where("u <> v").select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, "cc-large")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u")
-        new = small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        new = materialize(new, "cc-small")
-        got = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        discard(large)
-        if k:
-            discard(e)
-        e = new
-        if tuple(got) == seen:
+        star = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        new = large.join(down, "u").select(F.explode(star).alias("e")).select("e.*").where("u <> v").distinct()
+        said = Observation()
+        e = materialize(new.observe(said, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "cc")
+        discard(*kept)
+        kept = [e]
+        got = (said.get["n"], said.get["h"])
+        if got == seen:
             break
-        seen = tuple(got)
-    roots = e.groupBy("u").agg(F.min("v").alias("m"))
-    return nodes.join(roots, "u", "left").select(F.col("u").alias("node"), F.coalesce("m", "u").alias("component"))
+        seen = got
+    roots = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
+    return ends.join(roots, "node", "left").select("node", F.coalesce("m", "node").alias("component"))

@@ -43,6 +43,8 @@ CHUNK = 1_500_000
 #: Shingles with this share of all occurrences are certainly named frequent.
 SHARE = 2.0**-17
 BITS = 56
+#: A round of centres that links a smaller share of what it compares is the last one.
+WORTH = 0.1
 
 
 def _narrow(h: np.ndarray) -> np.ndarray:
@@ -280,15 +282,13 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 75, den: int
     grouped = classes.withColumn("prefix_hash", F.xxhash64("n", "prefix"))
     members = materialize(grouped.select("cls", "n", "lead", "prefix_hash", "prefix", "shingles"), "ngram-classes")
     discard(raw)
-    groups = members.groupBy("n", "prefix_hash").agg(F.min("cls").alias("rep"), F.min("lead").alias("lead"))
-    roster = materialize(members.select("cls", "n", "prefix_hash").join(groups.select("n", "prefix_hash", "rep"), ["n", "prefix_hash"]).select("cls", "n", "rep"), "ngram-roster")
+    roster, links = _group(members, num, den)
     tokens = materialize(
         members.join(roster.where("cls = rep").select("cls"), "cls", "left_semi")
         .select(F.col("cls").alias("rep"), "n", "lead", F.posexplode("prefix").alias("pos", "token"))
         .select("rep", "n", "lead", (F.col("lead") + F.col("pos")).alias("place"), "token", F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num))).alias("scale")),
         "ngram-tokens",
     )
-    links = materialize(_verified(roster.where("cls <> rep").select(F.col("cls").alias("u"), F.col("rep").alias("v")), members, num, den), "ngram-links")
     found = [links]
     comp = materialize(connected_components(_all(found)), "ngram-comp")
     for k in range(rounds):
@@ -298,22 +298,24 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 75, den: int
         centre = labelled.groupBy("token", "scale").agg(F.min(F.struct(own, F.xxhash64("rep", F.lit(k)).alias("o"), "rep", "comp")).alias("c"))
         pick = labelled.join(centre, ["token", "scale"]).where("comp <> c.comp").groupBy("rep").agg(F.min("c").alias("c")).select(F.col("rep").alias("u"), F.col("c.rep").alias("v"))
         pick = materialize(pick, "ngram-pick")
-        if pick.isEmpty():
+        tried = pick.count()
+        new = materialize(_verified(pick, members, num, den), "ngram-links") if tried else pick
+        linked = new.count() if tried else 0
+        if linked:
+            found.append(new)
+            old, comp = comp, materialize(connected_components(_all(found)), "ngram-comp")
+            discard(old)
+        if linked < WORTH * tried or not tried:
             break
-        new = materialize(_verified(pick, members, num, den), "ngram-links")
-        discard(pick)
-        if new.isEmpty():
-            break
-        found.append(new)
-        old, comp = comp, materialize(connected_components(_all(found)), "ngram-comp")
-        discard(old)
     labelled = _labelled(tokens, comp)
-    a, b = (labelled.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "place", "comp"))) for s in "ab")
+    a, b = (labelled.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "lead", "place", "comp"))) for s in "ab")
     na, nb = F.col("n_a"), F.col("n_b")
     # a is the smaller: its shorter index prefix is enough (Xiao et al. 2008)
     ordered = (na < nb) | ((na == nb) & (F.col("rep_a") < F.col("rep_b")))
     indexed = F.col("place_a") <= na - F.ceil(na * (2 * num / (num + den)) - 1e-9)
-    met = a.join(b, "token").where(ordered & indexed & (F.col("comp_a") != F.col("comp_b")) & (den * na >= num * nb))
+    # besides a shared shingle, only shared ones before it in both and any after it can be common
+    bound = F.least(F.col("place_a") - F.col("lead_a"), F.col("place_b") - F.col("lead_b")) + 1 + F.least(na - F.col("place_a") - 1, nb - F.col("place_b") - 1)
+    met = a.join(b, "token").where(ordered & indexed & (F.col("comp_a") != F.col("comp_b")) & (den * na >= num * nb) & ((num + den) * bound >= num * (na + nb)))
     # shared prefix shingles are all that precede the last of them
     rest = F.least(na - F.col("last_a") - 1, nb - F.col("last_b") - 1)
     pairs = (
@@ -324,10 +326,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 75, den: int
     )
     # group pairs expand to their members
     ma, mb = (roster.select(F.col("rep").alias(r), F.col("cls").alias(c)) for r, c in (("ra", "u"), ("rb", "v")))
-    inside = _labelled(roster.where("cls <> rep").select("cls", "rep", "n"), comp, "cls").join(_labelled(roster.where("cls = rep").select("rep"), comp).select("rep", F.col("comp").alias("rep_comp")), "rep")
-    stray = materialize(inside.where("comp <> rep_comp").select("cls", "rep", "comp"), "ngram-stray")
-    same = stray.alias("s").join(stray.alias("t"), (F.col("s.rep") == F.col("t.rep")) & (F.col("s.comp") < F.col("t.comp"))).select(F.col("s.cls").alias("u"), F.col("t.cls").alias("v"))
-    expanded = materialize(pairs.join(ma, "ra").join(mb, "rb").select("u", "v").union(same), "ngram-pairs")
+    expanded = materialize(pairs.join(ma, "ra").join(mb, "rb").select("u", "v"), "ngram-pairs")
     if not expanded.isEmpty():
         last = materialize(_verified(expanded, members, num, den), "ngram-links")
         if not last.isEmpty():
@@ -342,6 +341,28 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 75, den: int
     return full.union(members_of.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def _group(members: DataFrame, num: int, den: int, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(cls, rep) of the groups, and the links (u, v) of members to their representatives.
+
+    Classes with identical prefix and size are one group as far as they are verified to
+    be like its least class; the others try again among themselves, and what is left
+    after the last round stands alone.  So a group is connected, and lies in one component.
+    """
+    left = members.select("cls", "n", "prefix_hash")
+    parts, links = [], []
+    for _ in range(rounds):
+        rep = left.groupBy("n", "prefix_hash").agg(F.min("cls").alias("rep"))
+        named = materialize(left.join(rep, ["n", "prefix_hash"]).select("cls", "n", "prefix_hash", "rep"), "ngram-groups")
+        same = materialize(_verified(named.where("cls <> rep").select(F.col("cls").alias("u"), F.col("rep").alias("v")), members, num, den), "ngram-links")
+        links.append(same)
+        parts.append(named.where("cls = rep").select("cls", "rep").union(same.select(F.col("u").alias("cls"), F.col("v").alias("rep"))))
+        left = named.where("cls <> rep").join(same.select(F.col("u").alias("cls")), "cls", "left_anti").select("cls", "n", "prefix_hash")
+        if left.isEmpty():
+            break
+    parts.append(left.select("cls", F.col("cls").alias("rep")))
+    return materialize(_all(parts), "ngram-roster"), _all(links)
+
+
 def _all(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
