@@ -56,13 +56,13 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document with words: its lines with words, and the numbers of those that earlier lines are near to."""
+    """Per document with words: its lines with words, and the numbers of those that earlier lines are near to, joined by commas."""
     from .line_dedup import repeated_lines
 
     dropped, counts = repeated_lines(table(spark, sf_dir, "documents"))
     gone = dropped.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
     out = counts.join(gone, "doc_id", "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
-    return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("dropped")).alias("n_kept"), "dropped")
+    return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("dropped")).alias("n_kept"), F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"))
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,5 +110,30 @@ r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
 m AS (SELECT a, min(b) AS b FROM r GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(m.b, d.doc_id)) AS component_id
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.a = d.doc_id
+""",
+    # a line goes when an earlier one is equal, or has 8 words like it and all but one word of the longer in common prefix and suffix
+    "op7_line_dedup": r"""
+WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, i - 1 AS line, list_filter(regexp_split_to_array(ls[i], '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM t)),
+l AS MATERIALIZED (SELECT *, len(ws) AS n FROM w WHERE len(ws) > 0),
+f AS MATERIALIZED (SELECT ws, any_value(n) AS n, min((doc_id, line)) AS p FROM l GROUP BY ws),
+h AS (SELECT p, k, 0 AS side, ws[1:k] AS half FROM (SELECT *, unnest(list_distinct([n // 2, (n - 1) // 2])) AS k FROM f WHERE n >= 8)
+  UNION ALL SELECT p, k, 1, ws[n - k + 1:n] FROM (SELECT *, unnest(list_distinct([n // 2, (n - 1) // 2])) AS k FROM f WHERE n >= 8)),
+c AS (SELECT DISTINCT a.p AS a, b.p AS b FROM h a JOIN h b ON a.k = b.k AND a.side = b.side AND a.half = b.half AND a.p < b.p),
+v AS (SELECT c.b, x.ws AS x, y.ws AS y, least(x.n, y.n) AS m, x.n AS xn, y.n AS yn FROM c JOIN f x ON x.p = c.a JOIN f y ON y.p = c.b WHERE abs(x.n - y.n) <= 1),
+u AS (SELECT *, coalesce(list_position(list_transform(range(1, m + 1), lambda i: x[i] <> y[i]), true) - 1, m) AS pre,
+  coalesce(list_position(list_transform(range(0, m), lambda i: x[xn - i] <> y[yn - i]), true) - 1, m) AS suf FROM v),
+near AS (SELECT DISTINCT b FROM u WHERE pre + suf >= m - CASE WHEN xn = yn THEN 1 ELSE 0 END),
+gone AS (SELECT l.doc_id, l.line FROM l JOIN f ON f.ws = l.ws WHERE (l.doc_id, l.line) <> f.p UNION SELECT b[1], b[2] FROM near)
+SELECT l.doc_id, count(*) AS n_lines, count(*) - count(g.line) AS n_kept, coalesce(string_agg(g.line::VARCHAR, ',' ORDER BY g.line), '') AS dropped
+FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.line = l.line GROUP BY l.doc_id
+""",
+    "op9_near_vectors": """
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT a, min(b) AS b FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(m.b, e.vec_id)) AS component_id, e.vec_id <= coalesce(m.b, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN m ON m.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 """,
 }
