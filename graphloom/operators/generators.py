@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.random import uniform
 from ..graph import Graph
+from ..plans.storage import cut
 
 # Zachary's karate club (1977), from 0.
 ZACHARY = (
@@ -95,7 +96,7 @@ def watts_strogatz(spark: SparkSession, n: int = 20, nei: int = 2, p: float = 0.
         drawn = todo.select("eid", "a", target.alias("b")).where("a <> b").select("eid", "a", F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
         first = drawn.groupBy("src", "dst").agg(F.min("eid").alias("eid"))
         got = first.join(done.select("src", "dst"), ["src", "dst"], "left_anti").select("eid", "src", "dst")
-        done = spark.createDataFrame(done.union(got).toPandas()) if n * nei <= 1 << 16 else done.union(got).checkpoint()
+        done = cut(done.union(got))
         todo = todo.join(done.select("eid"), "eid", "left_anti")
         if todo.isEmpty():
             break
