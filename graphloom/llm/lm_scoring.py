@@ -2,8 +2,8 @@
 
 The target model counts the documents marked by a label, the background model all
 others; counts of all documents enter, in two passes.  Both models share one
-vocabulary: the VOCABULARY most frequent words of the whole corpus and one unknown
-word.  Bigrams are hashed to SLOTS counters.  Background counts are scaled to the
+vocabulary: the most frequent words of the whole corpus, VOCABULARY at most, and one
+unknown word.  Bigrams are hashed to SLOTS counters.  Background counts are scaled to the
 target's number of tokens (matched sizes), so smoothing weighs the same in both.  Each
 token's loss interpolates the bigram with the add-one unigram estimate; a document's
 score is the mean of target loss minus background loss: low is like the target.
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import materialize, mix64
 
 VOCABULARY = 1 << 16
 SLOTS = 1 << 20
@@ -85,11 +85,26 @@ def _add_slices(batches):
     yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["part", "counts"])
 
 
+def _vocabulary(counts: DataFrame) -> np.ndarray:
+    """Sorted hashes of the most frequent words, VOCABULARY at most: those above the least step of a logarithmic
+    scale of counts that leaves few enough.  Only the sizes of the steps and the words themselves meet on the driver."""
+    step = F.floor(F.log2(F.col("n").cast("double")) * 64).cast("int")
+    left, least = VOCABULARY, None
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("c")).collect(), key=lambda r: -r["step"]):
+        left -= r["c"]
+        if left < 0:
+            break
+        least = r["step"]
+    if least is None:
+        return np.zeros(0, np.uint64)
+    return np.sort(np.array([r["word"] for r in counts.where(step >= least).select("word").collect()], np.int64).view(np.uint64))
+
+
 class Model:
-    """Counts and estimates of one side."""
+    """Counts and estimates of one side; size: words of the shared vocabulary, with the unknown one."""
 
-    def __init__(self, counts: np.ndarray, scale: float, mix: float = 0.5):
-        uni = counts[: VOCABULARY + 1] * scale
+    def __init__(self, counts: np.ndarray, scale: float, size: int, mix: float = 0.5):
+        uni = counts[:size] * scale
         self.context = uni.astype(np.float32)
         self.unigram = ((uni + 1) / (uni.sum() + len(uni))).astype(np.float32)
         self.bigram = (counts[VOCABULARY + SLICE :] * scale).astype(np.float32)
@@ -107,11 +122,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality"):
     """(sorted vocabulary, target model, background model)."""
     spark = docs.sparkSession
     counts = docs.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).select("word").collect()
-    words = np.sort(np.array([r["word"] for r in top], np.int64).view(np.uint64))
+    words = _vocabulary(materialize(counts.where("n >= 2"), "words"))
     held = spark.sparkContext.broadcast(words)
+    # the same join at every size: a merge, as labelled rows grow with the input
     good = labels.where(F.col(label) == 1).select(F.col("doc_id").cast("long").alias("__id"), F.lit(True).alias("target")).distinct()
-    marked = docs.join(good, F.col("doc_id").cast("long") == F.col("__id"), "left").select("text", "target")
+    marked = docs.join(good.hint("merge"), F.col("doc_id").cast("long") == F.col("__id"), "left").select("text", "target")
     slices = marked.mapInArrow(_gram_counts(held), "part int, counts binary").repartition("part").mapInArrow(_add_slices, "part int, counts binary")
     size = VOCABULARY + SLICE + SLOTS
     flat = np.zeros(2 * size, np.int64)
@@ -122,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality"):
     if not n or not m:
         target = back = target + back
         n = m = n + m
-    return words, Model(target, 1.0), Model(back, n / max(1, m))
+    return words, Model(target, 1.0, len(words) + 1), Model(back, n / max(1, m), len(words) + 1)
 
 
 def score(docs: DataFrame, model) -> DataFrame:
