@@ -1,0 +1 @@
+"""Graph analytics and training-data operators on Spark DataFrames."""

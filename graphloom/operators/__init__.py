@@ -1,0 +1 @@
+"""Graph operators."""

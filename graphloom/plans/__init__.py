@@ -1,0 +1 @@
+"""Helpers that shape physical plans: storage, iteration and order."""

@@ -1,0 +1 @@
+"""Readers, writers and graphs made from tables."""

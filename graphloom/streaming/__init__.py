@@ -1,0 +1 @@
+"""No operator here works on streams: graphs are tables that a new batch replaces."""
