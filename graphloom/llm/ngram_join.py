@@ -277,11 +277,8 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 75, den: int
     counted = sent.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_frequency_pass, "block long, kind int, x binary, y binary")
     blocks = counted.repartition(parts, "block").sortWithinPartitions("block")
     sets = blocks.mapInArrow(_prefix_pass(frequent, num, den), "cls long, n long, lead long, prefix array<long>, shingles binary")
-    raw = materialize(sets, "ngram-sets")
-    classes = raw.dropDuplicates(["cls"])
-    grouped = classes.withColumn("prefix_hash", F.xxhash64("n", "prefix"))
-    members = materialize(grouped.select("cls", "n", "lead", "prefix_hash", "prefix", "shingles"), "ngram-classes")
-    discard(raw)
+    classes = sets.dropDuplicates(["cls"]).withColumn("prefix_hash", F.xxhash64("n", "prefix"))
+    members = materialize(classes.select("cls", "n", "lead", "prefix_hash", "prefix", "shingles"), "ngram-classes")
     roster, links = _group(members, num, den)
     tokens = materialize(
         members.join(roster.where("cls = rep").select("cls"), "cls", "left_semi")
