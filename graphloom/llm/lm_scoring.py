@@ -126,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality"):
     held = spark.sparkContext.broadcast(words)
     # the same join at every size: a merge, as labelled rows grow with the input
     good = labels.where(F.col(label) == 1).select(F.col("doc_id").cast("long").alias("__id"), F.lit(True).alias("target")).distinct()
-    marked = docs.join(good.hint("merge"), F.col("doc_id").cast("long") == F.col("__id"), "left").select("text", "target")
+    marked = docs.select("doc_id", "text").join(good.hint("merge"), F.col("doc_id").cast("long") == F.col("__id"), "left").select("text", "target")
     slices = marked.mapInArrow(_gram_counts(held), "part int, counts binary").repartition("part").mapInArrow(_add_slices, "part int, counts binary")
     size = VOCABULARY + SLICE + SLOTS
     flat = np.zeros(2 * size, np.int64)

@@ -13,13 +13,13 @@ from graphloom.llm import bpe, fingerprints, language_id, licences, line_dedup,
 from graphloom.llm.common import connected_components
 from graphloom.llm.queries import vocabulary_path
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, target string, line int, component int"
 PATH = vocabulary_path()
 ODD = [None, "", " ", "\n\n", "a", "a" * 5000, " " * 3000 + "x", "x <|endoftext|> y", "é ß\U0001f600", "word " * 4000, "the cat sat on the mat today", "the cat sat on the mat today"]
 
 
 def docs(spark, texts, lang="en"):
-    rows = [(k, t, lang if isinstance(lang, str) or lang is None else lang[k], "s", None if t is None else len(t), "e") for k, t in enumerate(texts)]
+    rows = [(k, t, lang if isinstance(lang, str) or lang is None else lang[k], "s", None if t is None else len(t), "e", k, None) for k, t in enumerate(texts)]
     return spark.createDataFrame(rows, DOCS)
 
 
@@ -360,7 +360,7 @@ def test_pipeline_against_its_operators(spark, tmp_path):
     texts[8] = texts[3]
     texts[9] = "123 456"
     df = docs(spark, texts)
-    df.drop("extra").write.parquet(str(tmp_path / "documents.parquet"))
+    df.drop("target", "line", "component").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(k, 1, 0) for k in range(0, 60, 2)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     at = spark.read.parquet(str(tmp_path / "documents.parquet"))
     columns, seen = at.columns, []
