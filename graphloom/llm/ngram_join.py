@@ -253,7 +253,9 @@ def _verify_pass(num: int, den: int):
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the class pairs (u, v) whose sets are similar enough."""
+    """Those of the class pairs (u, v) whose sets are similar enough.  Only sets that a pair needs are dealt out."""
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("cls")).distinct()
+    sets = sets.select("cls", "n", "shingles").join(needed, "cls", "left_semi")
     a = sets.select(F.col("cls").alias("u"), F.col("n").alias("nu"), F.col("shingles").alias("xu"))
     b = sets.select(F.col("cls").alias("v"), F.col("n").alias("nv"), F.col("shingles").alias("xv"))
     joined = pairs.join(b, "v").join(a, "u").select("u", "v", "nu", "nv", "xu", "xv")
