@@ -178,8 +178,11 @@ def _block_counts(threshold: float):
     return run
 
 
-def audit(nodes: DataFrame, links: DataFrame, threshold: float, queries: int = 200) -> tuple[int, int]:
-    """(links found, links there are) of about `queries` nodes, brute force against all in one scan."""
+def audit(nodes: DataFrame, lists: DataFrame, threshold: float, k: int, queries: int = 200) -> tuple[int, int]:
+    """(links on the lists, links that belong there) of about `queries` nodes, from brute force against all in one scan.
+
+    A list of k can hold k links at most; what lies beyond is counted in blocks later.
+    """
     total = nodes.count()
     picked = nodes.where(uniform_hash(F.col("rep"), 9) < queries / max(1, total)).select("rep", "grp", "vec").collect()
     if not picked:
@@ -193,22 +196,20 @@ def audit(nodes: DataFrame, links: DataFrame, threshold: float, queries: int = 2
         ready = {g: (np.array([r for r, _ in q]), unit_rows([v for _, v in q])) for g, q in held.value.items()}
         for b in batches:
             rep, grp, vec = (b.column(c).to_pylist() for c in ("rep", "grp", "vec"))
-            u, v = [], []
+            u, n = [], []
             for g, (ids, x) in ready.items():
                 at = [k for k in range(len(rep)) if (grp[k], len(vec[k])) == g]
                 if at:
-                    own = np.array([rep[k] for k in at])
-                    hit = (np.round(unit_rows([vec[k] for k in at]) @ x.T, 12) >= threshold) & (own[:, None] != ids[None, :])
-                    r, c = np.nonzero(hit)
-                    u += np.minimum(own[r], ids[c]).tolist()
-                    v += np.maximum(own[r], ids[c]).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+                    hit = np.round(unit_rows([vec[k] for k in at]) @ x.T, 12) >= threshold
+                    hit &= np.array([rep[k] for k in at])[:, None] != ids[None, :]
+                    u += ids.tolist()
+                    n += hit.sum(0).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(n, pa.int64())], ["u", "n"])
 
-    true = nodes.select("rep", "grp", "vec").mapInArrow(run, "u long, v long").distinct()
-    comp = connected_components(links)
-    a, b = (comp.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in "uv")
-    got = true.join(a, "u", "left").join(b, "v", "left").agg(F.count("*").alias("n"), F.count(F.when(F.col("cu") == F.col("cv"), 1)).alias("hit")).first()
-    return got["hit"], got["n"]
+    true = nodes.select("rep", "grp", "vec").mapInArrow(run, "u long, n long").groupBy("u").agg(F.sum("n").alias("n")).where("n > 0")
+    found = lists.select("u", F.size(F.filter("near", lambda x: x["s"] >= threshold)).alias("found"))
+    got = true.join(found, "u", "left").agg(F.sum(F.least("n", F.lit(k))).alias("there"), F.sum(F.least(F.coalesce("found", F.lit(0)), "n")).alias("hit")).first()
+    return got["hit"] or 0, got["there"] or 0
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.98, k: int = 10, trees: int = 6, rounds: int = 2, most_rounds: int = 5, recall: float = 0.97) -> DataFrame:
@@ -225,6 +226,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, k: int = 10, trees
     leaf = ["tree", "grp", "code"]
     full = coded.groupBy(*leaf).agg(F.count("*").alias("c"))
     dealt = coded.join(full, leaf).withColumn("part", F.pmod(F.xxhash64("rep", "tree"), F.ceil(F.col("c") / float(MEET))))
+    dealt = dealt.repartition(*leaf, "part")  # else the parts of a full leaf stay in the task of the join above
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"u": pd.Series([], dtype="int64"), "v": pd.Series([], dtype="int64"), "s": pd.Series([], dtype="float64")})]
@@ -241,7 +243,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, k: int = 10, trees
     size = k
     for r in range(most_rounds):
         if r >= rounds:
-            hit, there = audit(nodes, links, threshold)
+            hit, there = audit(nodes, lists, threshold, size)
             if hit >= recall * there:
                 break
             size *= 2
@@ -261,6 +263,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, k: int = 10, trees
     counts = members.groupBy("component").agg(F.ceil(F.count("*") / float(BLOCK)).cast("int").alias("blocks"))
     placed = members.join(counts, "component").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     spread = placed.select("component", "rep", "vec", "copies", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select("component", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "rep", "vec", "copies", "own")
+    spread = spread.repartition("component", "i", "j")  # else all blocks of a component stay in one task
     linked = spread.groupBy("component", "i", "j").applyInPandas(_block_counts(threshold), "rep long, c long").groupBy("rep").agg(F.sum("c").alias("c"))
     known = nodes.join(linked, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     per_node = known.select("grp", "vec", (F.coalesce("c", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
