@@ -469,6 +469,22 @@ def _(spark, d):
     return community.arrange_compact(g, layout_geometric.circle(g.vertices), g.vertices.select("id", (F.col("id") % 4).alias("community")))
 
 
+@query("arrange_compact_3d")
+def _(spark, d):
+    g = generators.famous(spark)
+    return community.arrange_compact(g, layout_geometric.circle(g.vertices), g.vertices.select("id", (F.col("id") % 3).alias("community")), 3)
+
+
+@query("community_louvain_weighted")
+def _(spark, d):
+    return community.keyboard_clusters(derive.nation_trade(spark, d), "louvain", "weight")
+
+
+@query("apply_new_graph", _LAYOUTS["layout_sphere"][1].replace(CUST, "c AS (SELECT unnest(range(20)) AS id), n AS (SELECT 20 AS n)"))
+def _(spark, d):
+    return rounded(generators.apply_new_graph(generators.ring(spark)).vertices, "x", "y", "z")
+
+
 # ---- rays and animation ----------------------------------------------------------------------------
 
 CHAIN = "e AS (SELECT a.id AS src, b.id AS dst FROM p a JOIN p b ON b.id = a.id + 1)"

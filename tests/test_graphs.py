@@ -218,6 +218,16 @@ def test_graphml(spark, tmp_path):
     assert pairs(back) == pairs(g) and scores(back.vertices, "label")[0] == "a"
 
 
+def test_command_line(spark, tmp_path, capsys):
+    from graphloom.__main__ import main
+    from graphloom.sources.graphml import write_graphml
+
+    write_graphml(generators.ring(spark, 6), str(tmp_path / "in"))
+    main([str(tmp_path / "in"), "--layout", "kk", "--out", str(tmp_path / "out")])
+    assert "Nodes: 6 | Edges: 6" in capsys.readouterr().out
+    assert spark.read.parquet(str(tmp_path / "out/vertices")).where("x is not null").count() == 6
+
+
 def test_catalog(spark):
     from graphloom.jobs import Runner
 
