@@ -318,6 +318,38 @@ def test_lm_scoring(spark):
     assert lm_scoring.cross_entropy_difference(docs(spark, []), labels).count() == 0
 
 
+def test_lm_scoring_counts_every_ngram(spark):
+    """Against counters in plain Python, on more than 65,536 words, over many blocks and ranges."""
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(70_000)]
+    texts = [" ".join(words[(300 * k + j) % 70_000] for j in range(300)) for k in range(400)] + [" ".join(rng.choice(words[:50]) for _ in range(80)) for _ in range(40)] + [None, "", "alone"]
+    good = set(range(0, len(texts), 3))
+    uni, pair = ({True: defaultdict(int), False: defaultdict(int)} for _ in range(2))
+    for k, t in enumerate(texts):
+        w = (t or "").split()
+        for a in w:
+            uni[k in good][a] += 1
+        for a in zip(w, w[1:]):
+            pair[k in good][a] += 1
+    n, m, v = sum(uni[True].values()), sum(uni[False].values()), len({*uni[True], *uni[False]})
+
+    def loss(t, side, scale):
+        w, total = (t or "").split(), 0.0
+        for i, a in enumerate(w):
+            p = (uni[side][a] * scale + 1) / (n + v)
+            if i:
+                p = 0.5 * p + 0.5 * min(1, pair[side][w[i - 1], a] * scale / max(1, uni[side][w[i - 1]] * scale))
+            total -= np.log(p)
+        return total / max(1, len(w))
+
+    labels = spark.createDataFrame([(k, int(k in good)) for k in range(len(texts))], "doc_id long, quality int")
+    out = {r["doc_id"]: r for r in lm_scoring.cross_entropy_difference(docs(spark, texts), labels).collect()}
+    for k, t in enumerate(texts):
+        assert (out[k]["target_loss"], out[k]["background_loss"]) == pytest.approx((loss(t, True, 1.0), loss(t, False, n / m)), abs=1e-9)
+    cut = {r["doc_id"]: r["score"] for r in lm_scoring.cross_entropy_difference(docs(spark, texts), labels, block=5000).collect()}
+    assert cut == pytest.approx({k: r["score"] for k, r in out.items()}, abs=1e-9)
+
+
 def test_licences(spark):
     rng = random.Random(11)
     prose = lambda: " ".join("".join(rng.choice(["ka", "lo", "the", "mi", "ren"]) for _ in range(3)) for _ in range(rng.randrange(4, 40)))
