@@ -5,8 +5,10 @@ their own, and one remainder.  Remainders wait in a pool as counts by length; fo
 each sequence the longest one is taken and a subset-sum over bitsets (one bit per
 reachable fill) finds the multiset of other lengths that comes closest to the
 capacity; the counts are backtracked, and the same multiset is laid out as often
-as the counts allow.  Only the last, underfull sequences of a task are cut, at
-powers of two, which need no padding.
+as the counts allow.  A length that fills no sequence exactly is set aside while the
+others are laid.  Where more than half a pool is left, and at the end of a task, the
+longest get their closest fill, and one piece is cut to close the gap.  The last ids
+of a task, less than a sequence, are cut at powers of two, which need no padding.
 
 A task packs its own rows: nothing is shuffled, the pool holds at most `pool`
 remainders, and a lost task is redone alone.
@@ -57,7 +59,7 @@ def closest_fill(counts: dict[int, int], room: int) -> dict[int, int]:
 
 
 def minimum_bin_slack(counts: dict[int, int], capacity: int, slack: int | None = None):
-    """Yields (multiset, times) until nothing is left; with `slack`, keeps back what would leave more than that unused."""
+    """Yields (multiset, times) until nothing is left; with `slack`, keeps back the lengths that would leave more than that unused."""
     counts = {k: v for k, v in counts.items() if v > 0}
     while counts:
         head = max(counts)
@@ -66,7 +68,8 @@ def minimum_bin_slack(counts: dict[int, int], capacity: int, slack: int | None =
         picked = closest_fill(rest, capacity - head)
         picked[head] = picked.get(head, 0) + 1
         if slack is not None and capacity - sum(k * v for k, v in picked.items()) > slack:
-            return
+            del counts[head]  # it closes no multiset of what is left, so none of a smaller head either
+            continue
         times = min(counts[k] // v for k, v in picked.items())
         for k, v in picked.items():
             counts[k] -= v * times
@@ -103,10 +106,36 @@ class Packer:
             offset += len(ids)
         self.sequence += 1
 
+    def closest(self) -> list[tuple]:
+        """Takes the longest remainder, its closest fill, and for the gap the start of the longest one left, which no gap exceeds."""
+        head = max(self.wait)
+        counts = {k: len(v) for k, v in self.wait.items()}
+        counts[head] -= 1
+        picked = closest_fill(counts, self.capacity - head)
+        picked[head] = picked.get(head, 0) + 1
+        pieces = [self.take_one(k) for k, v in picked.items() for _ in range(v)]
+        gap = self.capacity - sum(k * v for k, v in picked.items())
+        if gap:
+            doc_id, start, ids, n = self.take_one(max(self.wait))
+            pieces.append((doc_id, start, ids[:gap], n))
+            self.wait[len(ids) - gap].append((doc_id, start + gap, ids[gap:], n))
+        return pieces
+
+    def take_one(self, length: int) -> tuple:
+        out = self.wait[length].pop()
+        if not self.wait[length]:
+            del self.wait[length]
+        return out
+
     def flush(self, last: bool) -> None:
         for picked, times in minimum_bin_slack({k: len(v) for k, v in self.wait.items()}, self.capacity, 0):
             for _ in range(times):
                 self.lay([self.wait[k].pop() for k, v in picked.items() for _ in range(v)])
+        self.wait = defaultdict(list, {k: v for k, v in self.wait.items() if v})
+        total = sum(k * len(v) for k, v in self.wait.items())
+        while total >= self.capacity and (last or sum(map(len, self.wait.values())) > self.pool // 2):
+            self.lay(self.closest())
+            total -= self.capacity
         if last:
             left = [x for v in self.wait.values() for x in v]
             self.wait.clear()

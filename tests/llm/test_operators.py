@@ -82,6 +82,25 @@ def test_packing(spark, library):
     assert packing.pack_documents(docs(spark, []), PATH).count() == 0
 
 
+def test_a_remainder_without_partners_blocks_no_other():
+    rng = random.Random(5)
+    lengths = [1021, 1022, 1023] + [rng.randrange(20, 700) for _ in range(3000)]
+    packer = packing.Packer(1024, 200, 0)
+    for k, n in enumerate(lengths):
+        packer.add(k, np.arange(n, dtype="<u4"))
+        assert packer.waiting < 200
+    packer.flush(True)
+    pieces, fill = defaultdict(list), defaultdict(int)
+    for doc_id, start, length, ids, n, sequence, offset in packer.out:
+        assert offset == fill[sequence] and n == lengths[doc_id]
+        fill[sequence] += length
+        pieces[doc_id].append((start, ids))
+    for k, n in enumerate(lengths):
+        assert b"".join(ids for _, ids in sorted(pieces[k])) == np.arange(n, dtype="<u4").tobytes()
+    assert all(v == 1024 or v & (v - 1) == 0 for v in fill.values()) and sum(v < 1024 for v in fill.values()) <= 10
+    assert sum(len(v) > 1 for v in pieces.values()) <= 60
+
+
 def test_closest_fill_is_closest():
     rng = random.Random(3)
     for _ in range(200):
