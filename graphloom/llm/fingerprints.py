@@ -11,10 +11,14 @@ subset's terms are hashed together.  The fingerprint is the list of these hashes
 levels m and m + 1; likeness is the share of equal hashes among the subsets that either
 text uses, at the finest level that both have.
 
-Cases: a null text is the empty text; texts without a term in the band are fingerprinted
-by all their terms, and are alike (1) or not (0); equal texts always have equal
-fingerprints; repeated ids are ordered by text; a single document is its own next one;
-an empty table gives no rows.
+Terms that a large group of near copies shares lie above the band, and what is left are
+the words in which the copies differ.  So every text has a second fingerprint, made in the
+same way of all its terms; it counts where either text is thin: fewer than FEW of its
+terms, or less than a quarter of them, lie in the band.
+
+Cases: a null text is the empty text; texts of the same terms are alike (1), be it none;
+equal texts always have equal fingerprints; repeated ids are ordered by text; a single
+document is its own next one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ from pyspark.sql import functions as F
 RARE = 2000
 COMMON = 12
 PARTS = 32
+FEW = 8
 
 
 def term_hashes(text: Column) -> Column:
@@ -56,42 +61,42 @@ def _subsets(terms: Column, parts: int) -> Column:
     return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")), one)
 
 
-def likeness(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """a, b: level, here (hashes at it), next (at the next one), bare (hash of a text without terms in the band)."""
+def likeness(a: Column, b: Column) -> Column:
+    """a, b: bare (hash of all terms), thin, and two fingerprints, band and full: level, here (hashes at it), next (at the next one)."""
 
     def share(x: Column, y: Column) -> Column:
         same = F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda v: v))
         used = F.size(F.filter(F.zip_with(x, y, lambda p, q: p.isNotNull() | q.isNotNull()), lambda v: v))
         return F.when(used > 0, same / used).otherwise(0.0)
 
-    both = a["bare"].isNull() & b["bare"].isNull()
-    gap = b["level"] - a["level"]
-    return (
-        F.when(~both, F.when(a["bare"] == b["bare"], 1.0).otherwise(0.0))
-        .when(gap == 0, share(a["here"], b["here"]))
-        .when(gap == 1, share(a["next"], b["here"]))
-        .when(gap == -1, share(a["here"], b["next"]))
-        .otherwise(0.0)
-    )
+    def of(x: Column, y: Column) -> Column:
+        gap = y["level"] - x["level"]
+        return F.when(gap == 0, share(x["here"], y["here"])).when(gap == 1, share(x["next"], y["here"])).when(gap == -1, share(x["here"], y["next"])).otherwise(0.0)
+
+    return F.when(a["bare"] == b["bare"], 1.0).when(a["thin"] | b["thin"], of(a["full"], b["full"])).otherwise(of(a["band"], b["band"]))
+
+
+def _level(size: Column, parts: int) -> Column:
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(size, F.lit(1)) / float(parts)))).cast("int")
 
 
-def _fingerprints(df: DataFrame, names: dict[str, tuple[str, str]], parts: int) -> DataFrame:
-    """df with a struct of what likeness() needs under each name, from its columns of sorted terms and of the bare hash.
+def _fingerprints(df: DataFrame, names: dict[str, tuple[str, Column]], parts: int) -> DataFrame:
+    """df with a fingerprint under each name, from its column of sorted terms and its level.
 
     One projection after the other: each is used more than once by the next, so none is folded into it.
     """
     rest = [c for c in df.columns if c not in {t for t, _ in names.values()}]
-    level = lambda t: F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.size(t), F.lit(1)) / float(parts)))).cast("int")
-    df = df.select(*rest, *(c for n, (t, _) in names.items() for c in (F.col(t), level(t).alias(f"{n}_level"))))
-    df = df.select(*rest, *(c for n, (t, _) in names.items() for c in (F.size(t).alias(f"{n}_size"), F.col(f"{n}_level"), _masked(F.col(t), F.col(f"{n}_level")).alias(f"{n}_kept"))))
-    df = df.select(*rest, *(c for n in names for c in (F.col(f"{n}_size"), F.col(f"{n}_level"), F.col(f"{n}_kept"), _masked(F.col(f"{n}_kept"), F.col(f"{n}_level") + 1).alias(f"{n}_fewer"))))
-    full = lambda n, bare: F.struct(F.col(f"{n}_level").alias("level"), _subsets(F.col(f"{n}_kept"), parts).alias("here"), _subsets(F.col(f"{n}_fewer"), parts).alias("next"), F.when(F.col(f"{n}_size") == 0, F.col(bare)).alias("bare"))
-    return df.select(*rest, *(full(n, bare).alias(n) for n, (_, bare) in names.items()))
+    df = df.select(*rest, *(c for n, (t, level) in names.items() for c in (F.col(t), level.alias(f"{n}_level"))))
+    df = df.select(*rest, *(c for n, (t, _) in names.items() for c in (F.col(f"{n}_level"), _masked(F.col(t), F.col(f"{n}_level")).alias(f"{n}_kept"))))
+    df = df.select(*rest, *(c for n in names for c in (F.col(f"{n}_level"), F.col(f"{n}_kept"), _masked(F.col(f"{n}_kept"), F.col(f"{n}_level") + 1).alias(f"{n}_fewer"))))
+    return df.select(*rest, *(F.struct(F.col(f"{n}_level").alias("level"), _subsets(F.col(f"{n}_kept"), parts).alias("here"), _subsets(F.col(f"{n}_fewer"), parts).alias("next")).alias(n) for n in names))
 
 
 def _text(fp: str) -> Column:
-    hexes = lambda c: F.array_join(F.transform(F.col(f"{fp}.{c}"), lambda h: F.hex(h)), ".", "-")
-    return F.when(F.col(f"{fp}.bare").isNotNull(), F.concat(F.lit("b:"), F.hex(F.col(f"{fp}.bare")))).otherwise(F.concat_ws(":", F.col(f"{fp}.level").cast("string"), hexes("here"), hexes("next")))
+    hexes = lambda c: F.array_join(F.transform(c, lambda h: F.hex(h)), ".", "-")
+    one = lambda c: F.concat_ws(":", c["level"].cast("string"), hexes(c["here"]), hexes(c["next"]))
+    f = F.col(fp)
+    return F.when(f["thin"], F.concat(F.lit("a:"), one(f["full"]))).otherwise(one(f["band"]))
 
 
 def _bucket(doc_id: Column, bounds: list[int]) -> Column:
@@ -130,18 +135,23 @@ def document_fingerprints(docs: DataFrame, rare: int = RARE, common: int = COMMO
         "bucket", "place", "guest", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), term_hashes(F.col("text")).alias("own"), term_hashes(F.col("edited")).alias("new"),
     )
     bare = lambda c: F.xxhash64(F.array_sort(c))
-    termed = termed.select("bucket", "place", "guest", "doc_id", "n_chars", "edited_sha256", bare("own").alias("own_bare"), bare("new").alias("new_bare"), "own", "new")
-    tagged = F.concat(F.transform("own", lambda h: F.struct(h.alias("term"), F.lit(0).alias("side"))), F.transform("new", lambda h: F.struct(h.alias("term"), F.lit(1).alias("side"))))
-    keys = ["bucket", "place", "guest", "doc_id", "n_chars", "edited_sha256", "own_bare", "new_bare"]
-    single = termed.select(*keys, F.explode_outer(tagged).alias("t")).select(*keys, F.col("t.term").alias("term"), F.col("t.side").alias("side"))
+    head_keys = ["bucket", "place", "guest", "doc_id", "n_chars", "edited_sha256"]
+    termed = termed.select(*head_keys, *(f(c).alias(f"{c}_{n}") for c in ("own", "new") for n, f in (("bare", bare), ("size", F.size), ("level", lambda c: _level(F.size(c), parts)))), "own", "new")
+    keys = [*head_keys, *(f"{c}_{n}" for c in ("own", "new") for n in ("bare", "size", "level"))]
+    at_level = lambda h, c: h.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col(f"{c}_level")) - 1) == 0
+    tag = lambda c, k: F.transform(c, lambda h: F.struct(h.alias("term"), F.lit(k).alias("side"), at_level(h, c).alias("kept")))
+    single = termed.select(*keys, F.explode_outer(F.concat(tag("own", 0), tag("new", 1))).alias("t")).select(*keys, "t.term", "t.side", "t.kept")
     band = lexicon(base, head["n"], rare, common).withColumn("in_band", F.lit(True))
     found = single.join(F.broadcast(band), "term", "left")
-    side = lambda k: F.array_sort(F.collect_list(F.when((F.col("side") == k) & F.col("in_band"), F.col("term"))))
-    lists = found.groupBy("bucket", "place").agg(*(F.first(c).alias(c) for c in keys[2:]), side(0).alias("own"), side(1).alias("new"))
-    marked = _fingerprints(lists, {"fp": ("own", "own_bare"), "efp": ("new", "new_bare")}, parts)
+    side = lambda k, c: F.array_sort(F.collect_list(F.when((F.col("side") == k) & F.col(c), F.col("term"))))
+    lists = found.groupBy("bucket", "place").agg(*(F.first(c).alias(c) for c in keys[2:]), *(side(k, c).alias(f"{n}_{c}") for k, n in enumerate(("own", "new")) for c in ("in_band", "kept")))
+    thin = lambda c: (F.size(f"{c}_in_band") < F.greatest(F.lit(FEW), F.col(f"{c}_size") / 4)).alias(f"{c}_thin")
+    lists = lists.select("*", thin("own"), thin("new"))
+    marked = _fingerprints(lists, {f"{c}_{n}": (f"{c}_{t}", level) for c in ("own", "new") for n, t, level in (("band", "in_band", _level(F.size(f"{c}_in_band"), parts)), ("full", "kept", F.col(f"{c}_level")))}, parts)
+    whole = lambda c: F.struct(*(F.col(f"{c}_{n}").alias(n) for n in ("bare", "thin", "band", "full")))
+    marked = marked.select("bucket", "place", "guest", "doc_id", "n_chars", "edited_sha256", whole("own").alias("fp"), whole("new").alias("efp"))
     last = marked.withColumn("nfp", F.lead("fp").over(Window.partitionBy("bucket").orderBy("place"))).where("not guest")
-    as_dict = lambda c: {k: F.col(f"{c}.{k}") for k in ("level", "here", "next", "bare")}
     return last.select(
         "doc_id", "n_chars", "edited_sha256", _text("fp").alias("fingerprint"), _text("efp").alias("edited_fingerprint"),
-        likeness(as_dict("fp"), as_dict("efp")).cast("double").alias("near_edited"), likeness(as_dict("fp"), as_dict("nfp")).cast("double").alias("near_next"),
+        likeness(F.col("fp"), F.col("efp")).cast("double").alias("near_edited"), likeness(F.col("fp"), F.col("nfp")).cast("double").alias("near_next"),
     )

@@ -291,6 +291,20 @@ def test_fingerprints(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_fingerprints_of_a_large_group_of_near_copies(spark):
+    """A third of all rows are copies of one text, exact, with 1 % and with 5 % of the words changed."""
+    rng = random.Random(31)
+    vocabulary = [f"t{k}" for k in range(3000)]
+    first = [rng.choice(vocabulary) for _ in range(300)]
+    changed = lambda share: " ".join(f"x{rng.randrange(10**6)}" if rng.random() < share else w for w in first)
+    for share, near in ((0, 1.0), (0.01, 0.7), (0.05, 0.3)):
+        texts = [changed(share) for _ in range(100)] + [" ".join(rng.choice(vocabulary) for _ in range(300)) for _ in range(200)]
+        rows = {r["doc_id"]: r for r in fingerprints.document_fingerprints(docs(spark, texts)).collect()}
+        assert np.mean([rows[k]["near_next"] for k in range(99)]) >= near
+        assert np.mean([rows[k]["near_edited"] for k in range(99)]) >= min(near, 0.5)
+        assert np.mean([rows[k]["near_next"] for k in range(100, 299)]) < 0.15
+
+
 def test_near_vectors_against_brute_force(spark):
     rng = np.random.default_rng(9)
     rows, k = [], 0
