@@ -58,7 +58,7 @@ def spanning_links(sim: np.ndarray, threshold: float) -> list[tuple[int, int]]:
 
 
 def offers(ids: np.ndarray, x: np.ndarray, k: int, threshold: float, floor: np.ndarray | None = None):
-    """(u, v, sim) arrays: for each row its k nearest others above its floor, and a spanning forest of links."""
+    """(u, v, sim) arrays: for each row its k nearest others above its floor; if that leaves out links, also a spanning forest of all links."""
     sim = np.round(x @ x.T, 12)
     n = len(ids)
     np.fill_diagonal(sim, -2)
@@ -73,7 +73,9 @@ def offers(ids: np.ndarray, x: np.ndarray, k: int, threshold: float, floor: np.n
             keep = val > floor[rows]
             rows, cols, val = rows[keep], cols[keep], val[keep]
         u, v, s = ids[rows], ids[cols], val
-        if (sim >= threshold).sum(1).max(initial=0) > m:
+        linked = sim >= threshold
+        linked[np.concatenate([rows, cols]), np.concatenate([cols, rows])] = False
+        if linked.any():  # links that no kept offer carries: beyond the k nearest, or not above a floor
             for a, b in spanning_links(sim, threshold):
                 u, v, s = np.append(u, ids[a]), np.append(v, ids[b]), np.append(s, sim[a, b])
     return np.asarray(u, np.int64), np.asarray(v, np.int64), np.asarray(s, np.float64)

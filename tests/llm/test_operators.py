@@ -336,6 +336,20 @@ def test_near_vectors_against_brute_force(spark):
     assert near_vectors.near_vectors(df.where("false")).count() == 0
 
 
+def test_no_connection_is_lost_below_the_floors():
+    """Two groups with one link across, where every row's list is full of nearer ones; k as in a local join."""
+    ids = np.array([10, 11, 12, 20, 21, 22])
+    angle = np.array([0.0, 0.001, 0.002, 0.15, 0.151, 0.152])
+    x = np.stack([np.cos(angle), np.sin(angle)], 1)
+    floor = np.full(6, 0.9999)
+    u, v, s = near_vectors.offers(ids, x, 10, 0.98, floor)
+    assert all(c == pytest.approx(x[ids == a][0] @ x[ids == b][0]) for a, b, c in zip(u, v, s))
+    reach = {10}
+    for _ in ids:
+        reach |= {b for a, b in [*zip(u.tolist(), v.tolist()), *zip(v.tolist(), u.tolist())] if a in reach}
+    assert reach == set(ids.tolist())
+
+
 def test_lm_scoring(spark):
     rng = random.Random(10)
     good, rest = [f"g{k}" for k in range(30)], [f"r{k}" for k in range(30)]
