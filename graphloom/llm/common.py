@@ -110,5 +110,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if got == seen:
             break
         seen = got
+    else:
+        raise RuntimeError(f"components not settled after {max_rounds} rounds")
     roots = e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
     return ends.join(roots, "node", "left").select("node", F.coalesce("m", "node").alias("component"))

@@ -20,7 +20,10 @@ How the order is found without gathering a hot shingle in one task:
 Linked classes only need to be connected, not enumerated: rounds of comparisons with
 one centre per prefix shingle merge large families first; then every remaining
 candidate pair of different components is verified, so no link between different
-components is lost.
+components is lost.  Where more than HOT groups hold one prefix shingle, as in a family
+of near copies, they do not meet pair by pair: each member is measured against the
+shingle's centre, and a pair that may yet be similar is found by the shingles that it
+shares outside the centre (`_apart`).
 
 Cases: null, empty or blank texts have no shingles and stand alone; shorter texts than
 the width are one shingle; equal texts share a class whatever their number; an empty
@@ -43,6 +46,8 @@ CHUNK = 1_500_000
 #: Shingles with this share of all occurrences are certainly named frequent.
 SHARE = 2.0**-17
 BITS = 56
+#: Rows of a token, or pairs of members of two groups, up to which all meet all; beyond, they meet around centres.
+HOT = 64
 #: A round of centres that links a smaller share of what it compares is the last one.
 WORTH = 0.1
 
@@ -306,28 +311,26 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 75, den: int
             discard(old)
         if linked < WORTH * tried or not tried:
             break
-    labelled = _labelled(tokens, comp)
-    a, b = (labelled.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "lead", "place", "comp"))) for s in "ab")
-    na, nb = F.col("n_a"), F.col("n_b")
-    # a is the smaller: its shorter index prefix is enough (Xiao et al. 2008)
-    ordered = (na < nb) | ((na == nb) & (F.col("rep_a") < F.col("rep_b")))
-    indexed = F.col("place_a") <= na - F.ceil(na * (2 * num / (num + den)) - 1e-9)
-    # besides a shared shingle, only shared ones before it in both and any after it can be common
-    bound = F.least(F.col("place_a") - F.col("lead_a"), F.col("place_b") - F.col("lead_b")) + 1 + F.least(na - F.col("place_a") - 1, nb - F.col("place_b") - 1)
-    met = a.join(b, "token").where(ordered & indexed & (F.col("comp_a") != F.col("comp_b")) & (den * na >= num * nb) & ((num + den) * bound >= num * (na + nb)))
-    # shared prefix shingles are all that precede the last of them
-    rest = F.least(na - F.col("last_a") - 1, nb - F.col("last_b") - 1)
-    pairs = (
-        met.groupBy(F.col("rep_a").alias("ra"), F.col("rep_b").alias("rb"))
-        .agg(F.first(na).alias("n_a"), F.first(nb).alias("n_b"), F.count("*").alias("c"), F.max("place_a").alias("last_a"), F.max("place_b").alias("last_b"))
-        .where((num + den) * (F.col("c") + rest) >= num * (na + nb))
-        .select("ra", "rb")
-    )
-    # group pairs expand to their members
-    ma, mb = (roster.select(F.col("rep").alias(r), F.col("cls").alias(c)) for r, c in (("ra", "u"), ("rb", "v")))
-    expanded = materialize(pairs.join(ma, "ra").join(mb, "rb").select("u", "v"), "ngram-pairs")
-    if not expanded.isEmpty():
-        last = materialize(_verified(expanded, members, num, den), "ngram-links")
+    pairs, families = _candidates(_labelled(tokens, comp), roster, num, den)
+    linked = materialize(_verified(pairs, members, num, den), "ngram-links")
+    found.append(linked)
+    # of pairs of groups whose representatives are not linked, the members meet: all of them, or around a centre
+    sizes = roster.groupBy("rep").agg(F.count("*").alias("size")).where("size > 1")
+    sa, sb = (sizes.select(F.col("rep").alias(r), F.col("size").alias(f"size_{r}")) for r in "uv")
+    wide = pairs.join(linked, ["u", "v"], "left_anti").join(sa, "u", "left").join(sb, "v", "left").withColumn("many", F.coalesce("size_u", F.lit(1)) * F.coalesce("size_v", F.lit(1))).where("many > 1").select("u", "v", "many")
+    wide = materialize(wide, "ngram-wide")
+    ma, mb = (roster.select(F.col("rep").alias(r), F.col("cls").alias(c)) for r, c in (("u", "cu"), ("v", "cv")))
+    expanded = wide.where(F.col("many") <= HOT).join(ma, "u").join(mb, "v").select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+    found.append(materialize(_verified(expanded, members, num, den), "ngram-links"))
+    around = wide.where(F.col("many") > HOT).select(F.col("u").alias("c"), F.explode(F.array("u", "v")).alias("rep")).distinct()
+    named = families.union(around).distinct().join(roster, "rep").select("c", "cls").distinct()
+    known = materialize(_measured(named, members, num, den), "ngram-families")
+    found.append(known.where("linked and cls <> c").select(F.col("cls").alias("u"), F.col("c").alias("v")))
+    old, comp = comp, materialize(connected_components(_all(found)), "ngram-comp")
+    discard(old)
+    apart = materialize(_apart(_labelled(known, comp, "cls"), num, den), "ngram-pairs")
+    if not apart.isEmpty():
+        last = materialize(_verified(apart, members, num, den), "ngram-links")
         if not last.isEmpty():
             found.append(last)
             comp = materialize(connected_components(_all(found)), "ngram-comp")
@@ -362,6 +365,98 @@ def _group(members: DataFrame, num: int, den: int, rounds: int = 3) -> tuple[Dat
     return materialize(_all(parts), "ngram-roster"), _all(links)
 
 
+def _candidates(labelled: DataFrame, roster: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (u, v) of representatives of different components that share a token of few rows, and for the
+    tokens of many rows the centres c with the representatives (c, rep) that meet there.
+
+    So no row joins more than HOT others.  A pair of sizes that can be similar lies in one scale or in two
+    that follow each other; it has the lower scale's centre in common.
+    """
+    rows = materialize(labelled, "ngram-rows")
+    of = rows.groupBy("token").agg(F.count("*").alias("rows"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
+    few, many = (rows.join(of.where(w).select("token"), "token") for w in (F.col("rows") <= HOT, F.col("rows") > HOT))
+    a, b = (few.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "lead", "place", "comp"))) for s in "ab")
+    na, nb = F.col("n_a"), F.col("n_b")
+    # a is the smaller: its shorter index prefix is enough (Xiao et al. 2008)
+    ordered = (na < nb) | ((na == nb) & (F.col("rep_a") < F.col("rep_b")))
+    indexed = F.col("place_a") <= na - F.ceil(na * (2 * num / (num + den)) - 1e-9)
+    # besides a shared shingle, only shared ones before it in both and any after it can be common
+    bound = F.least(F.col("place_a") - F.col("lead_a"), F.col("place_b") - F.col("lead_b")) + 1 + F.least(na - F.col("place_a") - 1, nb - F.col("place_b") - 1)
+    met = a.join(b, "token").where(ordered & indexed & (F.col("comp_a") != F.col("comp_b")) & (den * na >= num * nb) & ((num + den) * bound >= num * (na + nb)))
+    # shared prefix shingles are all that precede the last of them
+    rest = F.least(na - F.col("last_a") - 1, nb - F.col("last_b") - 1)
+    pairs = (
+        met.groupBy(F.col("rep_a").alias("u"), F.col("rep_b").alias("v"))
+        .agg(F.first(na).alias("n_a"), F.first(nb).alias("n_b"), F.count("*").alias("c"), F.max("place_a").alias("last_a"), F.max("place_b").alias("last_b"))
+        .where((num + den) * (F.col("c") + rest) >= num * (na + nb))
+        .select("u", "v")
+    )
+    centre = many.groupBy("token", "scale").agg(F.min(F.struct((F.col("lead") / F.col("n")).alias("own"), F.xxhash64("rep").alias("o"), "rep"))["rep"].alias("c"))
+    near = many.select("token", "rep", F.explode(F.array("scale", F.col("scale") - 1)).alias("scale")).join(centre, ["token", "scale"]).select("c", "rep").distinct()
+    return materialize(pairs, "ngram-met"), materialize(near, "ngram-near")
+
+
+def _measure_pass(num: int, den: int):
+    schema = pa.schema([("c", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("common", pa.int64()), ("linked", pa.bool_()), ("outside", pa.list_(pa.int64()))])
+
+    def run(batches):
+        for b in batches:
+            c, cls, n, nc = (b.column(k).to_pylist() for k in range(4))
+            common, outside = [], []
+            for x, y in zip(b.column(4), b.column(5)):
+                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                rest = np.setdiff1d(x, y, assume_unique=True)
+                common.append(len(x) - len(rest))
+                outside.append(rest.astype(np.int64))
+            linked = [den * i >= num * (p + q - i) for i, p, q in zip(common, n, nc)]
+            yield pa.RecordBatch.from_pydict({"c": c, "cls": cls, "n": n, "common": common, "linked": linked, "outside": outside}, schema=schema)
+
+    return run
+
+
+def _measured(named: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """(c, cls, n, common, linked, outside): each class's shingles in common with its centre, and its shared ones outside."""
+    sets = members.join(named.select(F.explode(F.array("c", "cls")).alias("cls")).distinct(), "cls", "left_semi")
+    centre = sets.select(F.col("cls").alias("c"), F.col("n").alias("nc"), F.col("shingles").alias("y"))
+    joined = named.join(centre, "c").join(sets.select("cls", "n", F.col("shingles").alias("x")), "cls").select("c", "cls", "n", "nc", "x", "y")
+    return joined.mapInArrow(_measure_pass(num, den), "c long, cls long, n long, common long, linked boolean, outside array<long>")
+
+
+def _apart(known: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (u, v) around one centre that may be similar, of classes of different components.
+
+    Two classes have at most the smaller of their numbers in common with the centre within
+    it, and outside it only what they share there.  So either they share a shingle outside
+    it, where the many that all copies share do not lie; or both have more in common with
+    the centre than a similar pair of their sizes needs, which for a class that is not
+    linked to the centre leaves only partners smaller than the centre.
+    """
+    sides = ("cls", "n", "common", "out", "comp")
+    known = known.withColumn("out", F.size("outside"))
+    mixed = known.groupBy("c").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("c")
+    known = known.join(mixed, "c", "left_semi")
+    na, nb = F.col("n_a"), F.col("n_b")
+    within, shared = F.least("common_a", "common_b"), F.least("out_a", "out_b")
+    fits = (F.col("comp_a") != F.col("comp_b")) & (den * na >= num * nb) & (den * nb >= num * na)
+    side = lambda df, s, *keys: df.select(*keys, *(F.col(x).alias(f"{x}_{s}") for x in sides))
+    spread = known.select("c", *sides, F.explode("outside").alias("token"))
+    at = spread.groupBy("c", "token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("c", "token")
+    spread = spread.join(at, ["c", "token"])
+    a, b = (side(spread, s, "c", "token") for s in "ab")
+    met = a.join(b, ["c", "token"]).where(fits & (F.col("cls_a") < F.col("cls_b")) & ((num + den) * (within + shared) >= num * (na + nb)))
+    outside = (
+        met.groupBy("c", F.col("cls_a").alias("u"), F.col("cls_b").alias("v")).agg(F.count("*").alias("k"), F.first(within).alias("w"), F.first(na + nb).alias("n"))
+        .where((num + den) * (F.col("w") + F.col("k")) >= num * F.col("n")).select("u", "v")
+    )
+    step = lambda x: F.floor(F.log(F.greatest(x, F.lit(1)).cast("double")) * 50)
+    most = F.floor((num + den) * F.col("common") / num) - F.col("n")  # the largest partner that need not share anything outside
+    least = F.ceil(num * F.col("n") / den)
+    short = known.where(~F.col("linked") & (most >= least)).withColumn("step", F.explode(F.sequence(step(least), step(most))))
+    a, b = side(short, "a", "c", "step"), side(known.withColumn("step", step(F.col("n"))), "b", "c", "step")
+    inside = a.join(b, ["c", "step"]).where(fits & ((num + den) * within >= num * (na + nb))).select(F.least("cls_a", "cls_b").alias("u"), F.greatest("cls_a", "cls_b").alias("v"))
+    return outside.union(inside).distinct()
+
+
 def _all(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:

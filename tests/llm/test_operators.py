@@ -159,6 +159,30 @@ def test_ngram_join_against_all_pairs(spark):
     assert ngram_join.ngram_jaccard_join(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("hot", [4, 64])
+def test_ngram_join_of_families_of_near_copies(spark, monkeypatch, hot):
+    """Families of many near copies, some beyond the threshold of every other: all pairs compared in plain Python."""
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    rng = random.Random(14)
+    vocabulary = [f"w{k}" for k in range(500)]
+    passages = [[rng.choice(vocabulary) for _ in range(8)] for _ in range(6)]
+    texts = []
+    for size in (160, 60):
+        base = [rng.choice(vocabulary) for _ in range(110)]
+        for k in range(size):
+            w = list(base)
+            for _ in range(rng.randrange(0, 9)):
+                at = rng.randrange(len(w))
+                w[at : at + 1] = rng.choice(passages) if rng.random() < 0.25 else [rng.choice(vocabulary)]
+            if k % 7 == 0:
+                w = w[: rng.randrange(70, len(w))]
+            texts.append(" ".join(w))
+    texts += texts[:20]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_jaccard_join(docs(spark, texts).repartition(3)).collect()}
+    want = components({k: shingles(t) for k, t in enumerate(texts)}, lambda a, b: 100 * len(a & b) >= 75 * len(a | b))
+    assert got == want and len(set(want.values())) > 20
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
