@@ -248,7 +248,15 @@ class LibraryEncoder:
 
             ranks = {b: i for i, b in enumerate(vocab.token_bytes) if b and i not in set(vocab.special.values())}
             fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=vocab.special)
-            self.one = lambda t: fast.encode_to_numpy(t, allowed_special="all")
+            own = Encoder(vocab, segment_tree_words(vocab))
+
+            def one(t: str) -> np.ndarray:
+                try:
+                    return fast.encode_to_numpy(t, allowed_special="all")
+                except ValueError:  # its pattern engine gives up on runs of about a million blanks
+                    return own.encode([t])[0].astype(np.uint32)
+
+            self.one = one
         else:
             os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
             from tokenizers import Tokenizer

@@ -82,6 +82,12 @@ def test_packing(spark, library):
     assert packing.pack_documents(docs(spark, []), PATH).count() == 0
 
 
+def test_packing_of_a_very_long_run_of_blanks(library):
+    text = " " * 1_500_000 + "x"
+    flat, n = bpe.encoder_for(PATH, "library").encode([text, "a"])
+    assert n.tolist()[1] == 1 and flat[: n[0]].tolist() == bpe.encoder_for(PATH, "segment_tree").encode([text])[0].tolist()
+
+
 def test_a_remainder_without_partners_blocks_no_other():
     rng = random.Random(5)
     lengths = [1021, 1022, 1023] + [rng.randrange(20, 700) for _ in range(3000)]
