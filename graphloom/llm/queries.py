@@ -60,8 +60,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import repeated_lines
 
     dropped, counts = repeated_lines(table(spark, sf_dir, "documents"))
-    gone = dropped.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
-    out = counts.join(gone, "doc_id", "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
+    gone = dropped.groupBy("doc_id", "copy").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
+    out = counts.join(gone, ["doc_id", "copy"], "left").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
     return out.select("doc_id", "n_lines", (F.col("n_lines") - F.size("dropped")).alias("n_kept"), F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped"))
 
 

@@ -219,6 +219,7 @@ def test_line_dedup_against_all_pairs(spark):
     near = lambda a, b: a == b or (min(len(a), len(b)) >= 8 and abs(len(a) - len(b)) < 2 and distance(a, b) <= 1)
     want = {(k, n) for i, (k, n, w) in enumerate(order) if any(near(x, w) for _, _, x in order[:i])}
     dropped, _ = line_dedup.repeated_lines(df)
+    assert set(dropped.columns) == {"doc_id", "copy", "line"}
     assert {(r["doc_id"], r["line"]) for r in dropped.collect()} == want
     out = line_dedup.dedup_lines(df)
     assert out.columns == df.columns
@@ -233,6 +234,17 @@ def test_line_dedup_against_all_pairs(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_of_rows_of_one_id(spark):
+    """Three texts under one id, two of them equal, with near lines among them and in a later document."""
+    line = "a b c d e f g h i"
+    rows = [(1, f"x\n\n{line}"), (1, line[:-1] + "j\nown words"), (1, line[:-1] + "j\nown words"), (2, line)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(df).collect())
+    assert len(got) == 3 and [g[0] for g in got] == [1, 1, 1]
+    near = [t for _, t in got if line[:-2] in t]
+    assert near in ([f"x\n\n{line}"], [line[:-1] + "j\nown words"] * 2) and all("own words" in t or t.startswith("x") for _, t in got)
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(6)
     clean, bad = [f"c{k}" for k in range(400)], ["slur", "insult", "scum", "fool"]
