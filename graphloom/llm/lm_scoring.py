@@ -1,7 +1,8 @@
 """Cross-entropy difference of two n-gram language models.
 
 The target model counts the documents marked by a label, the background model all
-others; counts of all documents enter.  Both models share one vocabulary, every word of
+others; counts of all documents enter.  A document is scored by the counts of the other
+documents: its own are taken out of its model first.  Both models share one vocabulary, every word of
 the corpus, and both count every bigram exactly: words and bigrams are told apart by
 64-bit hashes.  Background counts are scaled to the target's number of tokens (matched
 sizes), so smoothing weighs the same in both.  Each token's loss interpolates the bigram
@@ -13,9 +14,11 @@ BLOCK tokens, and a block sends its own distinct n-grams, summed, to ranges of h
 A range adds them up and sends each block the sums of its n-grams, in the block's order.
 The number of ranges follows the number of tokens, so no task grows with the input.
 
-Cases: null and empty texts have no tokens and score 0; without target documents both
-models are the background; repeated labels of a document count once; an empty table
-gives no rows.
+Cases: null and empty texts have no tokens and score 0; texts of any length are read
+whole; without target documents both models are the background; repeated labels of a
+document count once; repeated rows are documents of their own, each scored with the
+others' counts; ties get equal scores; other columns are ignored; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -134,28 +137,37 @@ def _sums(bits: int):
     return run
 
 
-def losses(uni: np.ndarray, pair: np.ndarray, ids: np.ndarray, at: np.ndarray, first: np.ndarray, total: float, words: int) -> np.ndarray:
-    """Of each token in nats, from counts of words and bigrams, of which a model has `total` tokens and `words` words."""
-    p = ((uni + 1) / (total + words))[ids]
-    p[first + 1] = (1 - MIX) * p[first + 1] + MIX * np.minimum(1, pair[at] / np.maximum(uni[ids[first]], 1))
+def losses(uni: np.ndarray, before: np.ndarray, pair: np.ndarray, first: np.ndarray, total: np.ndarray, words: int) -> np.ndarray:
+    """Of each token in nats, from a model's counts: of its word, of the word before and of the bigram (for each pair), and of all tokens; `words` words are known."""
+    p = (uni + 1) / (total + words)
+    p[first + 1] = (1 - MIX) * p[first + 1] + MIX * np.minimum(1, pair / np.maximum(before, 1))
     return -np.log(p)
 
 
+def own_counts(doc: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """For each place, how often its n-gram `of` occurs in its document."""
+    _, at, n = np.unique(doc.astype(np.int64) << 32 | of.astype(np.int64), return_inverse=True, return_counts=True)
+    return n[at]
+
+
 def _scores(words_known: int, n: int, m: int, kind: pa.DataType):
     def run(batches):
         for b in batches:
             listed = b.column("doc_ids")
             for row in range(b.num_rows):
-                doc, _, words, ids, bigrams, at, first = _grams(*(b.column(c)[row].as_py() for c in COLUMNS))
+                doc, target, words, ids, bigrams, at, first = _grams(*(b.column(c)[row].as_py() for c in COLUMNS))
                 known = [_unpacked(x["sums"], 2) for x in sorted(b.column("sums")[row].as_py() or [], key=lambda x: x["part"])]
                 t, g = np.concatenate([np.zeros((2, 0), np.int64), *known], axis=1).astype(np.float64)
-                if n and m:
-                    scale = n / m
-                else:
-                    t, scale = t + g, 1.0
-                    g = t
-                cut, many, size = len(words), np.bincount(doc, minlength=len(listed[row])), n or m
-                t, g = (np.bincount(doc, losses(c[:cut], c[cut:], ids, at, first, size, words_known), minlength=len(many)) / np.maximum(many, 1) for c in (t, g * scale))
+                cut, many = len(words), np.bincount(doc, minlength=len(listed[row]))
+                mine, size = target[doc], many[doc]
+                scale, both = (n / m, False) if n and m else (1.0, True)
+                uni, pair = own_counts(doc, ids), own_counts(doc[first], at)
+                means = []
+                for c, total, inside, by in ((t + g if both else t, n + m if both else n, mine | both, 1.0), (t + g if both else g, n + m if both else m, ~mine | both, scale)):
+                    w = (c[:cut][ids] - uni * inside) * by
+                    k = (c[cut:][at] - pair * inside[first]) * by
+                    means.append(np.bincount(doc, losses(w, w[first], k, first, (total - size * inside) * by, words_known), minlength=len(many)) / np.maximum(many, 1))
+                t, g = means
                 yield pa.RecordBatch.from_arrays([listed[row].values.cast(kind), pa.array(many, pa.int64()), pa.array(t), pa.array(g), pa.array(t - g)], ["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
 
     return run

@@ -422,19 +422,21 @@ def test_lm_scoring_counts_every_ngram(spark):
             pair[k in good][a] += 1
     n, m, v = sum(uni[True].values()), sum(uni[False].values()), len({*uni[True], *uni[False]})
 
-    def loss(t, side, scale):
-        w, total = (t or "").split(), 0.0
+    def loss(k, side, scale):
+        w, total, inside = (texts[k] or "").split(), 0.0, (k in good) == side
+        own = lambda of, a: of.count(a) if inside else 0
+        two = list(zip(w, w[1:]))
         for i, a in enumerate(w):
-            p = (uni[side][a] * scale + 1) / (n + v)
+            p = ((uni[side][a] - own(w, a)) * scale + 1) / (((n if side else m) - len(w) * inside) * scale + v)
             if i:
-                p = 0.5 * p + 0.5 * min(1, pair[side][w[i - 1], a] * scale / max(1, uni[side][w[i - 1]] * scale))
+                p = 0.5 * p + 0.5 * min(1, (pair[side][two[i - 1]] - own(two, two[i - 1])) * scale / max(1, (uni[side][w[i - 1]] - own(w, w[i - 1])) * scale))
             total -= np.log(p)
         return total / max(1, len(w))
 
     labels = spark.createDataFrame([(k, int(k in good)) for k in range(len(texts))], "doc_id long, quality int")
     out = {r["doc_id"]: r for r in lm_scoring.cross_entropy_difference(docs(spark, texts), labels).collect()}
     for k, t in enumerate(texts):
-        assert (out[k]["target_loss"], out[k]["background_loss"]) == pytest.approx((loss(t, True, 1.0), loss(t, False, n / m)), abs=1e-9)
+        assert (out[k]["target_loss"], out[k]["background_loss"]) == pytest.approx((loss(k, True, 1.0), loss(k, False, n / m)), abs=1e-9)
     cut = {r["doc_id"]: r["score"] for r in lm_scoring.cross_entropy_difference(docs(spark, texts), labels, block=5000).collect()}
     assert cut == pytest.approx({k: r["score"] for k, r in out.items()}, abs=1e-9)
 
