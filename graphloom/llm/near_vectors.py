@@ -5,7 +5,7 @@ vectors are one node with a multiplicity.  A forest of random hyperplane trees g
 first neighbour lists; rounds of neighbours-of-neighbours joins refine them: all
 vectors on one node's list meet and offer themselves to each other.  An audit measures
 recall against brute force for a bounded set of queries, and rounds go on, with longer
-lists, while it is short of `recall`.
+lists, while it is short of `recall`; if it never gets there, the query fails.
 
 Lists that are full of links (saturated) hide further links.  Two things handle them
 exactly: each comparison also keeps a spanning forest of the links that it saw, so no
@@ -15,16 +15,19 @@ rows, never emitted as pairs.
 
 Cases: null vectors, zero vectors, vectors with null or non-finite parts and null
 labels link with nothing and stand alone; vectors of other lengths never link; copies
-link with each other; repeated ids are rows of their own with one id; an empty table
-gives no rows.
+link with each other; repeated ids are rows of their own with one id; of ties for a
+list's last place the greatest id stays; other columns are ignored; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, discard, materialize, uniform_hash
@@ -32,6 +35,8 @@ from .common import connected_components, discard, materialize, uniform_hash
 BLOCK = 1024
 LEAF = 64
 MEET = 384
+#: True links that an audit should have seen.
+LINKS = 50
 
 
 def unit_rows(vectors) -> np.ndarray:
@@ -59,7 +64,7 @@ def spanning_links(sim: np.ndarray, threshold: float) -> list[tuple[int, int]]:
 
 def offers(ids: np.ndarray, x: np.ndarray, k: int, threshold: float, floor: np.ndarray | None = None):
     """(u, v, sim) arrays: for each row its k nearest others above its floor; if that leaves out links, also a spanning forest of all links."""
-    sim = np.round(x @ x.T, 12)
+    sim = x @ x.T
     n = len(ids)
     np.fill_diagonal(sim, -2)
     m = min(k, n - 1)
@@ -118,9 +123,10 @@ def _codes(trees: int, depth: int, seed: int):
 
 
 def _lists(offered: DataFrame, k: int) -> DataFrame:
-    """(u, near): the k best distinct offers of each node, best first."""
-    best = F.slice(F.sort_array(F.collect_set(F.struct("s", "v")), asc=False), 1, k)
-    return offered.groupBy("u").agg(best.alias("near"))
+    """(u, near): the k best distinct offers of each node, best first.  Each task keeps k of a node's offers before they are dealt out."""
+    once = offered.groupBy("u", "v").agg(F.max("s").alias("s"))
+    top = once.withColumn("place", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("s"), F.desc("v")))).where(F.col("place") <= k)
+    return top.groupBy("u").agg(F.sort_array(F.collect_list(F.struct("s", "v")), asc=False).alias("near"))
 
 
 def _links(offered: DataFrame, threshold: float) -> DataFrame:
@@ -171,7 +177,7 @@ def _block_counts(threshold: float):
         b = a if i == j else pdf[pdf["own"] == j]
         if not len(a) or not len(b):
             return pd.DataFrame({"rep": pd.Series([], dtype="int64"), "c": pd.Series([], dtype="int64")})
-        linked = np.round(unit_rows(a["vec"]) @ unit_rows(b["vec"]).T, 12) >= threshold
+        linked = unit_rows(a["vec"]) @ unit_rows(b["vec"]).T >= threshold
         if i == j:
             np.fill_diagonal(linked, False)
             return pd.DataFrame({"rep": a["rep"].to_numpy(), "c": linked @ b["copies"].to_numpy()})
@@ -202,7 +208,7 @@ def audit(nodes: DataFrame, lists: DataFrame, threshold: float, k: int, queries:
             for g, (ids, x) in ready.items():
                 at = [k for k in range(len(rep)) if (grp[k], len(vec[k])) == g]
                 if at:
-                    hit = np.round(unit_rows([vec[k] for k in at]) @ x.T, 12) >= threshold
+                    hit = unit_rows([vec[k] for k in at]) @ x.T >= threshold
                     hit &= np.array([rep[k] for k in at])[:, None] != ids[None, :]
                     u += ids.tolist()
                     n += hit.sum(0).tolist()
@@ -214,7 +220,7 @@ def audit(nodes: DataFrame, lists: DataFrame, threshold: float, k: int, queries:
     return got["hit"] or 0, got["there"] or 0
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.98, k: int = 10, trees: int = 6, rounds: int = 2, most_rounds: int = 5, recall: float = 0.97) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.98, k: int = 10, trees: int = 6, rounds: int = 2, most_rounds: int = 8, recall: float = 0.97) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding, label)."""
     src = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("string").alias("grp"))
     rows = materialize(src.mapInArrow(_clean, "vec_id long, grp string, dim int, vec binary"), "vectors")
@@ -243,11 +249,16 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, k: int = 10, trees
     links = materialize(_links(offered, threshold), "vector-links")
     discard(offered)
     size = k
-    for r in range(most_rounds):
+    for r in count():
         if r >= rounds:
-            hit, there = audit(nodes, lists, threshold, size)
+            for queries in (200, 800, 3200):  # more where links are rare
+                hit, there = audit(nodes, lists, threshold, size, queries)
+                if there >= LINKS:
+                    break
             if hit >= recall * there:
                 break
+            if r == most_rounds:
+                raise RuntimeError(f"recall {hit} of {there} after {r} rounds")
             size *= 2
         tau = F.when(F.size("near") >= size, F.element_at("near", -1)["s"]).otherwise(F.lit(-2.0))
         known = nodes.join(lists, nodes["rep"] == lists["u"], "left").select(F.col("rep").alias("v"), "vec", F.coalesce(tau, F.lit(-2.0)).alias("tau"))
@@ -256,7 +267,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.98, k: int = 10, trees
         met = met.repartition("w").sortWithinPartitions("w").mapInArrow(_local_join(size, threshold), "u long, v long, s double")
         met = materialize(met, "vector-offers")
         old = lists.select("u", F.explode("near").alias("x")).select("u", "x.v", "x.s")
-        new_lists = materialize(_lists(met.union(old), size), "vector-lists")
+        back = old.select(F.col("v").alias("u"), F.col("u").alias("v"), "s")  # whose neighbour a node is may be its own
+        new_lists = materialize(_lists(met.union(old).union(back), size), "vector-lists")
         new_links = materialize(links.union(_links(met, threshold)).distinct(), "vector-links")
         discard(met, lists, links)
         lists, links = new_lists, new_links
