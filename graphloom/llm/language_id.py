@@ -1,17 +1,20 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads windows: runs of letters in lower case, as UTF-8 after a start byte,
-cut every WINDOW bytes.  Two GRUs run over a window, one each way; every position gets
-class probabilities from both states.  A document's probabilities are the mean over
-all its positions, whatever its length.  Equal windows have equal outputs, so a worker
-computes each distinct window once and keeps sums in a bounded cache.
+The network reads every byte of a text in lower case, as UTF-8: the text is read word
+by word (runs of anything but white space, whatever their length), a start byte standing
+for the space before each.  Two GRUs run over a word, one each way; every position gets
+class probabilities from both states.  A document's probabilities are the mean over all
+its positions.  Equal words have equal outputs, so a worker computes each distinct word
+once and keeps sums in a bounded cache.
 
-Training (numpy, backpropagation through time, Adam) uses the windows of at most about
-PER_LANGUAGE documents of each language, taken by a hash of doc_id (a documented bound).
+Training (numpy, backpropagation through time, Adam) uses the words, cut every TRAINED
+bytes, of at most about PER_LANGUAGE documents of each language, taken by a hash of
+doc_id, and of each of them at most SEEN characters (documented bounds of the sample).
 
 Cases: null texts and texts without letters are `und` with score 0; null languages are
-not learned from; without any language to learn every text is `und`; repeated rows get
-equal results.
+not learned from; without any language to learn (as in an empty table) every text is
+`und`; words of any length are read whole; repeated rows get equal results; of equal
+probabilities the first language in order is taken; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,28 +29,26 @@ from pyspark.sql import functions as F
 from .common import fold_of, text_slices, uniform_hash
 
 PER_LANGUAGE = 300
-WINDOW = 24
+SEEN = 20_000
+TRAINED = 32
 HIDDEN = 12
 CACHE = 300_000
-LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+#: Positions that are computed at a time.
+CELLS = 120_000
+LETTER = regex.compile(r"\p{L}")
 
 
-def windows_of(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+def words_of(text: str | None) -> list[str]:
+    """The words of a text; none without a letter."""
+    return text.lower().split() if text and LETTER.search(text) else []
 
 
-def encode_windows(runs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes padded to WINDOW + 1, lengths, run of each window)."""
-    parts, owner = [], []
-    for k, r in enumerate(runs):
-        b = r.encode()
-        for a in range(0, len(b), WINDOW):
-            parts.append(b"\x00" + b[a : a + WINDOW])
-            owner.append(k)
-    lens = np.fromiter(map(len, parts), np.int64, len(parts))
-    x = np.zeros((len(parts), WINDOW + 1), np.uint8)
-    x[np.arange(WINDOW + 1) < lens[:, None]] = np.frombuffer(b"".join(parts), np.uint8)
-    return x, lens, np.array(owner, np.int64)
+def padded(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes after a start byte, padded to the longest; lengths)."""
+    lens = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
+    x = np.zeros((len(parts), int(lens.max()) if len(parts) else 1), np.uint8)
+    x[:, 1:][np.arange(1, x.shape[1]) < lens[:, None]] = np.frombuffer(b"".join(parts), np.uint8)
+    return x, lens
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -129,16 +130,20 @@ class Network:
         e = np.exp(logits - logits.max(2, keepdims=True))
         return e / e.sum(2, keepdims=True), states, rx, at
 
-    def pooled(self, x: np.ndarray, lens: np.ndarray) -> np.ndarray:
-        """Sums of the class probabilities over the positions of each window."""
-        out = np.zeros((len(x), len(self.bias)), np.float32)
-        order = np.argsort(lens, kind="stable")
-        for a in range(0, len(order), 4096):
-            i = order[a : a + 4096]
-            t = int(lens[i].max())
-            p, *_ = self.positions(x[i, :t], lens[i])
-            mask = np.arange(t)[:, None] < lens[i][None, :]
-            out[i] = (p * mask[:, :, None]).sum(0)
+    def pooled(self, parts: list[bytes]) -> np.ndarray:
+        """Sums of the class probabilities over the positions of each word."""
+        out = np.zeros((len(parts), len(self.bias)), np.float32)
+        order = sorted(range(len(parts)), key=lambda i: len(parts[i]))
+        a = 0
+        while a < len(order):
+            b = a + 1
+            while b < len(order) and (b + 1 - a) * (len(parts[order[b]]) + 1) <= CELLS:
+                b += 1
+            x, lens = padded([parts[i] for i in order[a:b]])
+            p, *_ = self.positions(x, lens)
+            mask = np.arange(x.shape[1])[:, None] < lens[None, :]
+            out[order[a:b]] = (p * mask[:, :, None]).sum(0)
+            a = b
         return out
 
     def step(self, x: np.ndarray, lens: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
@@ -164,12 +169,14 @@ def train(windows: list[tuple[np.ndarray, np.ndarray]], steps: int = 450, batch:
     """windows: for each class its (padded bytes, lengths); classes are drawn evenly."""
     net = Network(len(windows))
     rng = np.random.default_rng(seed)
-    params = net.params()
+    params, wide = net.params(), max(x.shape[1] for x, _ in windows)
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for k in range(1, steps + 1):
         y = rng.integers(0, len(windows), batch)
         pick = [int(rng.integers(0, len(windows[c][1]))) for c in y.tolist()]
-        x = np.stack([windows[c][0][i] for c, i in zip(y.tolist(), pick)])
+        x = np.zeros((batch, wide), np.uint8)
+        for k_, (c, i) in enumerate(zip(y.tolist(), pick)):
+            x[k_, : windows[c][0].shape[1]] = windows[c][0][i]
         lens = np.array([windows[c][1][i] for c, i in zip(y.tolist(), pick)])
         lr = rate * min(1.0, 2 * (1 - k / (steps + 1)))
         for p, g, a, b in zip(params, net.step(x, lens, y), m, v):
@@ -189,13 +196,14 @@ def fit(docs: DataFrame, usable=None, per_language: int = PER_LANGUAGE) -> tuple
     if not counts:
         return [], None
     share = F.create_map(*chain.from_iterable((F.lit(k), F.lit(min(1.0, per_language / n))) for k, n in sorted(counts.items())))
-    some = known.where(uniform_hash(F.col("doc_id"), 5) < share[F.col("lang")])
+    some = known.where(uniform_hash(F.col("doc_id"), 5) < share[F.col("lang")]).withColumn("text", F.left("text", F.lit(SEEN))).distinct()
     texts: dict[str, list] = {k: [] for k in sorted(counts)}
     for r in sorted(some.select("lang", "doc_id", "text").collect(), key=lambda r: (r.doc_id, r.text)):
         texts[r["lang"]].append(r["text"])
     windows, languages = [], []
     for lang, group in texts.items():
-        x, lens, _ = encode_windows([w for t in group for w in windows_of(t)])
+        raw = [w.encode() for t in group for w in words_of(t)]
+        x, lens = padded([w[a : a + TRAINED] for w in raw for a in range(0, len(w), TRAINED)])
         if len(lens):
             windows.append((x, lens))
             languages.append(lang)
@@ -214,16 +222,15 @@ def classify(docs: DataFrame, model: tuple[list[str], Network | None]) -> DataFr
         for b in batches:
             texts, pred, score = b.column(1).to_pylist(), [], []
             for lo, hi in text_slices(texts):
-                runs = [windows_of(t) if net is not None else [] for t in texts[lo:hi]]
+                runs = [words_of(t) if net is not None else [] for t in texts[lo:hi]]
                 if len(at) > CACHE:
                     at, sums, size = {}, sums[:0], size[:0]
                 if new := [r for r in set(chain.from_iterable(runs)) if r not in at]:
-                    x, lens, owner = encode_windows(new)
-                    got = np.zeros((len(new), sums.shape[1]), np.float32)
-                    np.add.at(got, owner, net.pooled(x, lens))
+                    parts = [r.encode() for r in new]
+                    got = net.pooled(parts)
                     at.update(zip(new, range(len(at), len(at) + len(new))))
                     sums = np.concatenate([sums, got])
-                    size = np.concatenate([size, np.bincount(owner, lens, len(new)).astype(np.float32)])
+                    size = np.concatenate([size, np.fromiter((len(r) + 1 for r in parts), np.float32, len(parts))])
                 for r in runs:
                     if not r:
                         pred.append("und")

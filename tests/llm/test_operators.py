@@ -287,7 +287,7 @@ def test_language_held_out(spark):
 
 def test_gru_gradients():
     net = language_id.Network(3)
-    x, lens, _ = language_id.encode_windows(["hello", "wörld", "ab", "abcdefghijklmnopqrstuvwxyzabc"])
+    x, lens = language_id.padded([w.encode() for w in ("hello", "wörld", "ab", "abcdefghijklmnopqrstuvwxyzabc")])
     y = np.arange(len(lens)) % 3
 
     def loss():
@@ -307,6 +307,17 @@ def test_gru_gradients():
         assert g[i] == pytest.approx((up - down) / 2e-2, rel=0.02)
 
 
+def test_words_of_any_length_are_read_whole():
+    """Means of position probabilities, batched by length, equal those of each word alone."""
+    net, rng = language_id.Network(3), random.Random(15)
+    parts = ["".join(rng.choice("abé1.ß") for _ in range(n)).encode() for n in [1, 2, 3, 400, 7, 20_000, 5, 60]]
+    got = net.pooled(parts)
+    for k, w in enumerate(parts):
+        x, lens = language_id.padded([w])
+        p, *_ = net.positions(x, lens)
+        assert len(p) == len(w) + 1 and got[k] == pytest.approx(p.sum((0, 1)), rel=1e-3)
+
+
 def test_fingerprints(spark):
     rng = random.Random(8)
     vocabulary = [f"t{k}" for k in range(3000)]
