@@ -3,13 +3,15 @@
 The lexicon holds the terms (runs of letters and digits, lower case) that occur in at
 least 1/RARE and at most 1/COMMON of all documents: a band of inverse document
 frequency.  It has at most RARE times the mean number of distinct terms of a document,
-whatever the number of documents, and is broadcast.  A document's distinct terms in
-the band are sorted by hash.  Long lists are thinned first: level m keeps the terms of
-a nested random sublexicon of share 2**-m, with m chosen from the list's length so that
-at most PARTS terms are left.  The sublexicon falls into PARTS random subsets, and each
-subset's terms are hashed together.  The fingerprint is the list of these hashes at
-levels m and m + 1; likeness is the share of equal hashes among the subsets that either
-text uses, at the finest level that both have.
+whatever the number of documents; it is broadcast up to BROADCAST terms and merged
+beyond.  A document's distinct terms in the band are sorted by hash.  There are DRAWS
+random sublexicons of each share in SHARES (1/4 to 1/4096 of the band); for each, all of
+the document's terms that it keeps are hashed together, and the fingerprint is the list
+of these hashes.  No term is left out for the length of a text: every document is
+fingerprinted by all sublexicons, and large shares tell short texts apart as small ones
+do long texts.  Likeness is the share of equal hashes among the sublexicons that either
+text uses, at the share of the lexicon where it is greatest (and LEAST are used): a
+quarter of a text changed breaks every sublexicon of a large share.
 
 Terms that a large group of near copies shares lie above the band, and what is left are
 the words in which the copies differ.  So every text has a second fingerprint, made in the
@@ -17,8 +19,9 @@ same way of all its terms; it counts where either text is thin: fewer than FEW o
 terms, or less than a quarter of them, lie in the band.
 
 Cases: a null text is the empty text; texts of the same terms are alike (1), be it none;
-equal texts always have equal fingerprints; repeated ids are ordered by text; a single
-document is its own next one; an empty table gives no rows.
+equal texts always have equal fingerprints; repeated ids are ordered by text, and whole
+equal rows are alike in any order; texts of any length are read whole; a single document
+is its own next one; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,10 +31,18 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 RARE = 2000
 COMMON = 12
-PARTS = 32
+#: Bits of a term's hash that must be 0 for a sublexicon to keep it: shares of 1/4, 1/16, ... 1/4096.
+SHARES = (2, 4, 6, 8, 10, 12)
+#: Sublexicons of each share; each looks at its own window of the hash, STEP bits on.
+DRAWS = 8
+STEP = 7
+LEAST = 3
 FEW = 8
+BROADCAST = 2_000_000
 
 
 def term_hashes(text: Column) -> Column:
@@ -46,57 +57,41 @@ def lexicon(docs: DataFrame, n_docs: int, rare: int = RARE, common: int = COMMON
     return df.where((F.col("df") >= max(2, n_docs / rare)) & (F.col("df") <= max(2, n_docs / common))).select("term")
 
 
-def _masked(terms: Column, level: Column) -> Column:
-    """The terms of the random sublexicon of share 2**-level."""
-    return F.filter(terms, lambda h: h.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1) == 0)
-
-
-def _subsets(terms: Column, parts: int) -> Column:
-    """The hash of each random subset's sorted terms, null for an empty one.  terms: a plain column, as it is read once per subset."""
+def _fingerprint(df: DataFrame, terms: str, name: str) -> DataFrame:
+    """df with a column `name`: the hashes of what each sublexicon keeps of the column of sorted terms, null for nothing.
 
-    def one(k: Column) -> Column:
-        own = F.filter(terms, lambda h: F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(parts - 1).cast("long")) == k)
-        return F.when(F.size(own) > 0, F.xxhash64(own))
-
-    return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")), one)
+    Each projection reads what the one before it kept, as a smaller share of one window is part of the larger ones.
+    """
+    rest, done = df.columns, []
+    window = lambda a, k, bits: F.filter(a, lambda h: F.call_function("shiftrightunsigned", h, STEP * k).bitwiseAND(F.lit((1 << bits) - 1).cast("long")) == F.lit(0).cast("long"))
+    hashed = lambda i: F.transform(f"__{i}", lambda a: F.when(F.size(a) > 0, F.hash(a))).alias(f"__h{i}")
+    for i, bits in enumerate(SHARES):
+        if i == 0:
+            made = F.transform(F.sequence(F.lit(0), F.lit(DRAWS - 1)), lambda k: window(F.col(terms), k, bits))
+        else:
+            made = F.transform(f"__{i - 1}", lambda a, k: window(a, k, bits))
+        df = df.select(*rest, *done, *([hashed(i - 1)] if i else []), made.alias(f"__{i}"))
+        done += [f"__h{i - 1}"] if i else []
+    return df.select(*rest, F.concat(*done, hashed(len(SHARES) - 1)).alias(name))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """a, b: bare (hash of all terms), thin, and two fingerprints, band and full: level, here (hashes at it), next (at the next one)."""
+    """a, b: bare (hash of all terms), thin, and two fingerprints, band and full."""
 
     def share(x: Column, y: Column) -> Column:
-        same = F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda v: v))
-        used = F.size(F.filter(F.zip_with(x, y, lambda p, q: p.isNotNull() | q.isNotNull()), lambda v: v))
-        return F.when(used > 0, same / used).otherwise(0.0)
-
-    def of(x: Column, y: Column) -> Column:
-        gap = y["level"] - x["level"]
-        return F.when(gap == 0, share(x["here"], y["here"])).when(gap == 1, share(x["next"], y["here"])).when(gap == -1, share(x["here"], y["next"])).otherwise(0.0)
+        marks = F.zip_with(x, y, lambda p, q: F.when(p == q, 2).when(p.isNotNull() | q.isNotNull(), 1).otherwise(0))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(len(SHARES) - 1)), F.lit(0.0), lambda best, i: F.greatest(best, of(F.slice(marks, i * DRAWS + 1, DRAWS))))
 
-    return F.when(a["bare"] == b["bare"], 1.0).when(a["thin"] | b["thin"], of(a["full"], b["full"])).otherwise(of(a["band"], b["band"]))
+    def of(part: Column) -> Column:
+        used = F.size(F.filter(part, lambda m: m > 0))
+        return F.when(used >= LEAST, F.size(F.filter(part, lambda m: m == 2)) / used).otherwise(0.0)
 
+    return F.when(a["bare"] == b["bare"], 1.0).when(a["thin"] | b["thin"], share(a["full"], b["full"])).otherwise(share(a["band"], b["band"]))
 
-def _level(size: Column, parts: int) -> Column:
-    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(size, F.lit(1)) / float(parts)))).cast("int")
 
-
-def _fingerprints(df: DataFrame, names: dict[str, tuple[str, Column]], parts: int) -> DataFrame:
-    """df with a fingerprint under each name, from its column of sorted terms and its level.
-
-    One projection after the other: each is used more than once by the next, so none is folded into it.
-    """
-    rest = [c for c in df.columns if c not in {t for t, _ in names.values()}]
-    df = df.select(*rest, *(c for n, (t, level) in names.items() for c in (F.col(t), level.alias(f"{n}_level"))))
-    df = df.select(*rest, *(c for n, (t, _) in names.items() for c in (F.col(f"{n}_level"), _masked(F.col(t), F.col(f"{n}_level")).alias(f"{n}_kept"))))
-    df = df.select(*rest, *(c for n in names for c in (F.col(f"{n}_level"), F.col(f"{n}_kept"), _masked(F.col(f"{n}_kept"), F.col(f"{n}_level") + 1).alias(f"{n}_fewer"))))
-    return df.select(*rest, *(F.struct(F.col(f"{n}_level").alias("level"), _subsets(F.col(f"{n}_kept"), parts).alias("here"), _subsets(F.col(f"{n}_fewer"), parts).alias("next")).alias(n) for n in names))
-
-
-def _text(fp: str) -> Column:
-    hexes = lambda c: F.array_join(F.transform(c, lambda h: F.hex(h)), ".", "-")
-    one = lambda c: F.concat_ws(":", c["level"].cast("string"), hexes(c["here"]), hexes(c["next"]))
-    f = F.col(fp)
-    return F.when(f["thin"], F.concat(F.lit("a:"), one(f["full"]))).otherwise(one(f["band"]))
+def _text(f: Column) -> Column:
+    hexes = lambda c: F.array_join(F.transform(c, lambda h: F.lpad(F.hex(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))), 8, "0")), ".", "-")
+    return F.when(f["thin"], F.concat(F.lit("a:"), hexes(f["full"]))).otherwise(hexes(f["band"]))
 
 
 def _bucket(doc_id: Column, bounds: list[int]) -> Column:
@@ -107,7 +102,7 @@ def _bucket(doc_id: Column, bounds: list[int]) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= len(bounds)) & (F.get(padded, at + s - 1) <= doc_id), at + s).otherwise(at))
 
 
-def document_fingerprints(docs: DataFrame, rare: int = RARE, common: int = COMMON, parts: int = PARTS) -> DataFrame:
+def document_fingerprints(docs: DataFrame, rare: int = RARE, common: int = COMMON) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first
@@ -136,22 +131,29 @@ def document_fingerprints(docs: DataFrame, rare: int = RARE, common: int = COMMO
     )
     bare = lambda c: F.xxhash64(F.array_sort(c))
     head_keys = ["bucket", "place", "guest", "doc_id", "n_chars", "edited_sha256"]
-    termed = termed.select(*head_keys, *(f(c).alias(f"{c}_{n}") for c in ("own", "new") for n, f in (("bare", bare), ("size", F.size), ("level", lambda c: _level(F.size(c), parts)))), "own", "new")
-    keys = [*head_keys, *(f"{c}_{n}" for c in ("own", "new") for n in ("bare", "size", "level"))]
-    at_level = lambda h, c: h.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col(f"{c}_level")) - 1) == 0
-    tag = lambda c, k: F.transform(c, lambda h: F.struct(h.alias("term"), F.lit(k).alias("side"), at_level(h, c).alias("kept")))
-    single = termed.select(*keys, F.explode_outer(F.concat(tag("own", 0), tag("new", 1))).alias("t")).select(*keys, "t.term", "t.side", "t.kept")
-    band = lexicon(base, head["n"], rare, common).withColumn("in_band", F.lit(True))
-    found = single.join(F.broadcast(band), "term", "left")
-    side = lambda k, c: F.array_sort(F.collect_list(F.when((F.col("side") == k) & F.col(c), F.col("term"))))
-    lists = found.groupBy("bucket", "place").agg(*(F.first(c).alias(c) for c in keys[2:]), *(side(k, c).alias(f"{n}_{c}") for k, n in enumerate(("own", "new")) for c in ("in_band", "kept")))
-    thin = lambda c: (F.size(f"{c}_in_band") < F.greatest(F.lit(FEW), F.col(f"{c}_size") / 4)).alias(f"{c}_thin")
-    lists = lists.select("*", thin("own"), thin("new"))
-    marked = _fingerprints(lists, {f"{c}_{n}": (f"{c}_{t}", level) for c in ("own", "new") for n, t, level in (("band", "in_band", _level(F.size(f"{c}_in_band"), parts)), ("full", "kept", F.col(f"{c}_level")))}, parts)
+    termed = termed.select(*head_keys, *(F.array_sort(c).alias(c) for c in ("own", "new")))
+    for c in ("own", "new"):
+        termed = _fingerprint(termed, c, f"{c}_full")
+    keys = [*head_keys[2:], *(f"{c}_{n}" for c in ("own", "new") for n in ("bare", "size", "full"))]
+    termed = termed.select(*head_keys, *(f(c).alias(f"{c}_{n}") for c in ("own", "new") for n, f in (("bare", bare), ("size", F.size))), "own_full", "new_full", "own", "new")
+    # what belongs to the text goes with one row of it, not with each of its terms
+    head_row = F.array(F.struct(F.lit(None).cast("long").alias("term"), F.lit(-1).alias("side"), F.struct(*keys).alias("rest")))
+    none = F.lit(None).cast(termed.select(F.struct(*keys).alias("rest")).schema["rest"].dataType)
+    tag = lambda c, k: F.transform(c, lambda h: F.struct(h.alias("term"), F.lit(k).alias("side"), none.alias("rest")))
+    single = termed.select("bucket", "place", F.explode(F.concat(head_row, tag("own", 0), tag("new", 1))).alias("t")).select("bucket", "place", "t.term", "t.side", "t.rest")
+    band = materialize(lexicon(base, head["n"], rare, common), "lexicon")
+    band = band.hint("broadcast" if band.count() <= BROADCAST else "merge").withColumn("in_band", F.lit(True))
+    found = single.join(band, "term", "left")
+    side = lambda k: F.array_sort(F.collect_list(F.when((F.col("side") == k) & F.col("in_band"), F.col("term"))))
+    lists = found.groupBy("bucket", "place").agg(F.first("rest", ignorenulls=True).alias("rest"), side(0).alias("own"), side(1).alias("new")).select("bucket", "place", "rest.*", "own", "new")
+    thin = lambda c: (F.size(c) < F.greatest(F.lit(FEW), F.col(f"{c}_size") / 4)).alias(f"{c}_thin")
+    marked = lists.select("*", thin("own"), thin("new"))
+    for c in ("own", "new"):
+        marked = _fingerprint(marked, c, f"{c}_band")
     whole = lambda c: F.struct(*(F.col(f"{c}_{n}").alias(n) for n in ("bare", "thin", "band", "full")))
     marked = marked.select("bucket", "place", "guest", "doc_id", "n_chars", "edited_sha256", whole("own").alias("fp"), whole("new").alias("efp"))
+    near = likeness(F.col("fp"), F.col("efp")).cast("double")
+    marked = marked.select("bucket", "place", "guest", "doc_id", "n_chars", "edited_sha256", "fp", _text(F.col("efp")).alias("edited_fingerprint"), near.alias("near_edited"))
     last = marked.withColumn("nfp", F.lead("fp").over(Window.partitionBy("bucket").orderBy("place"))).where("not guest")
-    return last.select(
-        "doc_id", "n_chars", "edited_sha256", _text("fp").alias("fingerprint"), _text("efp").alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("efp")).cast("double").alias("near_edited"), likeness(F.col("fp"), F.col("nfp")).cast("double").alias("near_next"),
-    )
+    near_next = likeness(F.col("fp"), F.col("nfp")).cast("double")
+    return last.select("doc_id", "n_chars", "edited_sha256", _text(F.col("fp")).alias("fingerprint"), "edited_fingerprint", "near_edited", near_next.alias("near_next"))
