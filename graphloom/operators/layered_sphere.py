@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..plans.storage import cut
+from ..plans.storage import cut, drop
 
 GRID = 1 << 15
 
@@ -110,8 +110,15 @@ def initial_slots(placed: DataFrame, spheres: DataFrame) -> DataFrame:
     return j.select("id", "sphere", F.least(F.col("slots") - 1, F.col("i") * F.floor(F.col("slots") / F.col("n"))).cast("long").alias("slot"))
 
 
-def layout(graph: Graph, intra_sweeps: int = 12, inter_sweeps: int = 6, seed: int = 1) -> DataFrame:
-    """(id, x, y, z, sphere): slots improved by swaps and moves towards the neighbours' mean, all spheres of one parity at a time."""
+# Sweeps inside the spheres, then between them, at most.
+INTRA, INTER = 52, 102
+
+
+def layout(graph: Graph, intra_sweeps: int = INTRA, inter_sweeps: int = INTER, seed: int = 1) -> DataFrame:
+    """(id, x, y, z, sphere): slots improved by swaps and moves towards the neighbours' mean, all spheres of one parity at a time.
+
+    Either phase ends early when a sweep inside, or two between the spheres, one of each parity, move nothing.
+    """
     from .community import detect
     from .structure import coreness, density, local_transitivity
 
@@ -133,8 +140,9 @@ def layout(graph: Graph, intra_sweeps: int = 12, inter_sweeps: int = 6, seed: in
     grid = cut(slots(spark, spheres))
     at = cut(initial_slots(placed, spheres).join(grid, ["sphere", "slot"]))
     near = cut(g.both().groupBy(F.col("u").alias("id")).agg(F.collect_list("v").alias("near")))
-    for k in range(intra_sweeps + inter_sweeps):
-        inner = k < intra_sweeps
+    inside, between, still, k = intra_sweeps, inter_sweeps, 0, -1
+    while inside or between:
+        k, inner = k + 1, inside > 0
         rate = max(0.05, 0.4 * 0.95**k)
         moving = at if inner else at.where(F.col("sphere") % 2 == k % 2)
         pairs = near.select("id", F.explode("near").alias("v")).join(at.select(F.col("id").alias("v"), F.col("sphere").alias("vs"), F.col("x").alias("vx"), F.col("y").alias("vy"), F.col("z").alias("vz")), "v")
@@ -144,7 +152,15 @@ def layout(graph: Graph, intra_sweeps: int = 12, inter_sweeps: int = 6, seed: in
         new = moving.join(lists, "id", "left").select("sphere", "id", "slot", F.coalesce("links", F.array().cast("array<struct<v:bigint,vx:double,vy:double,vz:double>>")).alias("links"))
         done = new.groupBy("sphere").cogroup(grid.groupBy("sphere")).applyInPandas(_sweep(rate), "id long, sphere int, slot long, x double, y double, z double")
         kept = done if inner else done.union(at.where(F.col("sphere") % 2 != k % 2).select("id", "sphere", "slot", "x", "y", "z"))
-        at = cut(kept.select("sphere", "slot", "id", "x", "y", "z"))
+        old, at = at, cut(kept.select("sphere", "slot", "id", "x", "y", "z"))
+        was = old.select("id", F.col("sphere").alias("s"), F.col("slot").alias("t"))
+        still = still + 1 if at.join(was, "id").where("sphere <> s or slot <> t").isEmpty() else 0
+        drop(old)
+        if inner:
+            inside = 0 if still else inside - 1
+            still = still if inside else 0
+        else:
+            between = 0 if still > 1 else between - 1
     return at.select("id", "x", "y", "z", "sphere")
 
 

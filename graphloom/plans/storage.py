@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where none is set."""
+    """The folder named by spark.checkpoint.dir; in local mode one of our own where none is set."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
         root = sc.getCheckpointDir()
     return root.rstrip("/")

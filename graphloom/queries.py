@@ -16,6 +16,7 @@ from .functions.random import uniform
 from .functions.vectors import lit3, vec
 from .graph import Graph
 from .operators import centrality, community, generators, layered_sphere, layout_force, layout_geometric, paths, spatial, structure, style
+from .plans.storage import cut
 from .sources import derive
 from .sources.derive import table
 
@@ -335,7 +336,21 @@ _GEN = {
     "gen_barabasi": (generators.barabasi, None), "gen_watts_strogatz": (generators.watts_strogatz, None), "gen_forest_fire": (generators.forest_fire, None), "gen_random_tree": (generators.random_tree, None),
 }
 for _name, (_f, _sql) in _GEN.items():
-    query(_name, _sql)(lambda spark, d, _f=_f: _f(spark).edges.select("src", "dst"))
+    if _sql:
+        query(_name, _sql)(lambda spark, d, _f=_f: _f(spark).edges.select("src", "dst"))
+
+
+def _sound(g: Graph) -> DataFrame:
+    """(vertices, components, faults): loops and repeated edges are faults."""
+    g = Graph(cut(g.vertices), cut(g.edges), g.directed)
+    pair = F.struct(F.least("src", "dst"), F.greatest("src", "dst"))
+    faults = g.edges.agg((F.count("*") - F.count_distinct(F.when(F.col("src") != F.col("dst"), pair))).alias("faults"))
+    return structure.connected_components(g).agg(F.count("*").alias("vertices"), F.count_distinct("component").alias("components")).crossJoin(faults)
+
+
+for _name, _n in (("gen_barabasi", 50), ("gen_forest_fire", 50), ("gen_random_tree", 20)):
+    query(_name, f"SELECT {_n}::BIGINT AS vertices, 1::BIGINT AS components, 0::BIGINT AS faults")(lambda spark, d, _f=_GEN[_name][0]: _sound(_f(spark)))
+query("gen_watts_strogatz", "SELECT 20::BIGINT AS vertices, 40::BIGINT AS edges, 0::BIGINT AS faults")(lambda spark, d: _sound(generators.watts_strogatz(spark)).select("vertices", F.lit(generators.watts_strogatz(spark).edges.count()).alias("edges"), "faults"))
 
 
 @query("bipartite_projection", """WITH e AS (SELECT DISTINCT o_custkey AS c, l_partkey AS p FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' AND o_orderpriority = '1-URGENT')
@@ -400,18 +415,47 @@ def _(spark, d):
     return rounded(layout_geometric.center_unit(derive.points(spark, d)), "x", "y", "z")
 
 
-# ---- solvers: rows only ---------------------------------------------------------------------
+# ---- solvers, whose places no SQL computes: what holds for every result ----------------------
+
+#: Trade between nations without directions.
+PLACED = f"WITH {D5} SELECT id, 1::BIGINT AS places, true AS finite FROM v"
+#: Every vertex in one community, and no worse than one community for all.
+SPLIT = "WITH {} SELECT id, 1::BIGINT AS communities, true AS gain FROM v"
+
+
+def trade(spark, d) -> Graph:
+    return derive.nation_trade(spark, d).undirected()
+
+
+def placed(at: DataFrame) -> DataFrame:
+    """How often each vertex is placed, and whether all its coordinates are finite."""
+    finite = F.abs("x") + F.abs("y") + F.abs("z") < 1e100
+    return at.groupBy("id").agg(F.count("*").alias("places"), F.bool_and(F.coalesce(finite, F.lit(False))).alias("finite"))
+
+
+def split(graph: Graph, member: DataFrame) -> DataFrame:
+    """How many communities each vertex has, and whether their modularity is at least that of a single one."""
+    member = cut(member)
+    gain = community.modularity(graph, member).select((F.col("modularity") >= -1e-9).alias("gain"))
+    return member.groupBy("id").agg(F.count_distinct("community").alias("communities")).crossJoin(F.broadcast(gain))
+
 
 for _kind in layout_force.SOLVERS:
-    query(f"layout_{_kind}")(lambda spark, d, _kind=_kind: layout_force.layout(generators.famous(spark), _kind))
-query("layout_layered_sphere")(lambda spark, d: layered_sphere.layout(generators.famous(spark)))
-query("layout_step")(lambda spark, d: layout_force.layout_step(generators.famous(spark), "fr", 50))
-query("spring_step")(lambda spark, d: layout_force.spring_step(derive.hand_off(spark, d), layout_geometric.random_3d(derive.hand_off(spark, d).vertices), 1.0))
+    query(f"layout_{_kind}", PLACED)(lambda spark, d, _kind=_kind: placed(layout_force.layout(trade(spark, d), _kind)))
+query("layout_layered_sphere", PLACED)(lambda spark, d: placed(layered_sphere.layout(trade(spark, d))))
+query("layout_step", PLACED)(lambda spark, d: placed(layout_force.layout_step(trade(spark, d), "fr", 50)))
+query("spring_step", f"WITH {D1} SELECT id, 1::BIGINT AS places, true AS finite FROM v")(lambda spark, d: placed(layout_force.spring_step(d1(spark, d), layout_geometric.random_3d(d1(spark, d).vertices), 1.0)))
+#: Sequential methods of more than quadratic time take the graph of nations.
 for _kind in community.METHODS:
-    query(f"community_{_kind}")(lambda spark, d, _kind=_kind: community.detect(generators.kary_tree(spark) if _kind == "optimal_modularity" else generators.famous(spark), _kind))
-query("community_label_propagation")(lambda spark, d: community.label_propagation(d3(spark, d)))
-query("community_fluid")(lambda spark, d: community.fluid(generators.famous(spark)))
-query("community_louvain_hand_off")(lambda spark, d: community.detect(d1(spark, d).undirected(), "louvain"))
+    if _kind == "optimal_modularity":
+        query("community_optimal_modularity", "SELECT unnest(range(15))::BIGINT AS id, 1::BIGINT AS communities, true AS gain")(lambda spark, d: split(generators.kary_tree(spark), community.detect(generators.kary_tree(spark), "optimal_modularity")))
+    elif _kind in ("edge_betweenness", "spinglass"):
+        query(f"community_{_kind}", SPLIT.format(D5))(lambda spark, d, _kind=_kind: split(trade(spark, d), community.detect(trade(spark, d), _kind)))
+    else:
+        query(f"community_{_kind}", SPLIT.format(D1U))(lambda spark, d, _kind=_kind: split(d1(spark, d).undirected(), community.detect(d1(spark, d).undirected(), _kind)))
+query("community_label_propagation", SPLIT.format(D3))(lambda spark, d: split(d3(spark, d), community.label_propagation(d3(spark, d))))
+query("community_fluid", SPLIT.format(D3).replace(", true AS gain", ""))(lambda spark, d: split(d3(spark, d), community.fluid(d3(spark, d))).drop("gain"))
+query("community_louvain_weighted", SPLIT.format(D5))(lambda spark, d: split(trade(spark, d), community.keyboard_clusters(derive.nation_trade(spark, d), "louvain", "weight")))
 
 # ---- memberships -------------------------------------------------------------------------------
 
@@ -463,21 +507,13 @@ def _(spark, d):
     return community.arrange_compact_start(layout_geometric.grid(customers(spark, d)), membership(spark, d), 3).drop("cx", "cy", "cz")
 
 
-@query("arrange_compact_2d")
-def _(spark, d):
-    g = generators.famous(spark)
-    return community.arrange_compact(g, layout_geometric.circle(g.vertices), g.vertices.select("id", (F.col("id") % 4).alias("community")))
-
-
-@query("arrange_compact_3d")
-def _(spark, d):
-    g = generators.famous(spark)
-    return community.arrange_compact(g, layout_geometric.circle(g.vertices), g.vertices.select("id", (F.col("id") % 3).alias("community")), 3)
+def _compact(spark, d, dims: int) -> DataFrame:
+    g = d1(spark, d).undirected()
+    return placed(community.arrange_compact(g, layout_geometric.circle(g.relabel().vertices.select("id")).join(g.relabel().vertices.select("id", "old_id"), "id").select(F.col("old_id").alias("id"), "x", "y", "z"), g.vertices.select("id", (F.col("id") % 4).alias("community")), dims))
 
 
-@query("community_louvain_weighted")
-def _(spark, d):
-    return community.keyboard_clusters(derive.nation_trade(spark, d), "louvain", "weight")
+for _dims in (2, 3):
+    query(f"arrange_compact_{_dims}d", f"WITH {D1U} SELECT id, 1::BIGINT AS places, true AS finite FROM v")(lambda spark, d, _dims=_dims: _compact(spark, d, _dims))
 
 
 @query("apply_new_graph", _LAYOUTS["layout_sphere"][1].replace(CUST, "c AS (SELECT unnest(range(20)) AS id), n AS (SELECT 20 AS n)"))

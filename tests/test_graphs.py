@@ -252,3 +252,29 @@ def test_ordering(spark):
     e = spark.createDataFrame([(k // 4, k, k % 5) for k in range(20)], "d int, o int, v int")
     got = sorted((r["s"], r["t"]) for r in successors(e, F.col("d"), ["o"], "v").collect())
     assert got == sorted((k % 5, (k + 1) % 5) for k in range(19))
+
+
+def test_solvers_run_all_their_rounds(monkeypatch):
+    """As many rounds as the fixed values say, at every size."""
+    e = np.array([(k, k + 1) for k in range(2100)])
+    rounds = []
+    monkeypatch.setattr(layout_force.np.random, "default_rng", lambda seed: Counting(rounds))
+    monkeypatch.setattr(layout_force, "ROWS", 4096)
+    layout_force.openord(3, e[:2], stages=((7, 10, 1, 1.0), (5, 10, 1, 0.5)))
+    small = len(rounds)
+    rounds.clear()
+    layout_force.openord(2101, e, stages=((7, 10, 1, 1.0), (5, 10, 1, 0.5)), dims=1)
+    assert len(rounds) == small == 12
+    assert sum(s[0] for s in layout_force.OPENORD_STAGES) == sum(s[0] for s in layout_force.DRL_STAGES) == 750
+
+
+class Counting:
+    def __init__(self, rounds):
+        self.rounds, self.rng = rounds, np.random.RandomState(1)
+
+    def random(self, shape):
+        return self.rng.random_sample(shape)
+
+    def uniform(self, a, b, shape):
+        self.rounds.append(shape)
+        return self.rng.uniform(a, b, shape)
