@@ -1,6 +1,8 @@
 """Licence scan: a trained paragraph classifier, confirmed by templates.
 
-A paragraph is a line with words.  Its features are hashed word unigrams, bigrams and
+A paragraph is a run of lines between blank lines; a line that ends a sentence ends it
+too, so wrapped lines are read as one.  Where a joined paragraph is unknown, its lines
+are tried alone.  Its features are hashed word unigrams, bigrams and
 trigrams; a multinomial logistic regression with L1 (sparse weights) tells licence
 families and `unknown` apart.  It is trained here: on the templates below, cut, joined
 and worn down at random, against paragraphs of the corpus that share little with any
@@ -9,11 +11,13 @@ template.  A temperature fitted on held-out paragraphs calibrates the probabilit
 enough of the word trigrams of one of its templates lie in the paragraph, or the other
 way round.
 
-The corpus gives at most about NEGATIVES documents for training (a documented bound).
+The corpus gives at most about NEGATIVES documents, and of each at most SEEN characters,
+for training (documented bounds of the sample).
 
 Cases: null, empty and blank texts have no paragraphs; paragraphs without a known
 feature are `unknown`; repeated rows give repeated findings; paragraphs of any length
-are read whole; an empty table gives no rows.
+are read whole; of equally probable families the first is taken; other columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from .common import mix64, uniform_hash
 
 BITS = 16
 NEGATIVES = 200
+SEEN = 20_000
 PROBABILITY = 0.5
 SIMILARITY = 0.6
 CLEAN = bytes(b if b >= 128 or chr(b).isalnum() else 46 if b == 46 else 32 for b in range(256))
@@ -110,6 +115,20 @@ def words_of(line: bytes) -> list[bytes]:
     return line.lower().translate(CLEAN).replace(b". ", b" ").rstrip(b" .").split()
 
 
+def paragraphs(text: bytes | None):
+    """(number of the first line, its lines) of each paragraph."""
+    first, held = 0, []
+    for n, line in enumerate(text.split(b"\n") if text else ()):
+        if line.strip():
+            first = first if held else n
+            held.append(line)
+        if held and (not line.strip() or line.rstrip()[-1:] in b".!?:;"):
+            yield first, held
+            held = []
+    if held:
+        yield first, held
+
+
 def gram_slots(words: list[bytes], bits: int = BITS) -> np.ndarray:
     """Distinct slots of the unigrams, bigrams and trigrams of a paragraph."""
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
@@ -207,41 +226,52 @@ def train(negatives: list[list[bytes]], bits: int = BITS, seed: int = 13, epochs
 def fit(docs: DataFrame, sample: int = NEGATIVES) -> Classifier:
     share = sample / max(1, docs.count())
     templates, negatives = Templates(), []
-    got = docs.where(F.col("text").isNotNull() & (uniform_hash(F.col("doc_id"), 10) < share)).select("doc_id", "text").collect()
+    got = docs.where(F.col("text").isNotNull() & (uniform_hash(F.col("doc_id"), 10) < share)).select("doc_id", F.left("text", F.lit(SEEN)).alias("text")).distinct().collect()
     for r in sorted(got, key=lambda r: (r["doc_id"], r["text"])):
-        for line in r["text"].encode().split(b"\n"):
-            w = words_of(line)
+        for _, lines in paragraphs(r["text"].encode()):
+            w = words_of(b" ".join(lines))
             if w and templates.best(w) < 0.3:
                 negatives.append(w)
     return train(negatives)
 
 
-def scan_licences(docs: DataFrame, model: Classifier | None = None, probability: float = PROBABILITY, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, line, family, probability, similarity, confirmed): every paragraph that the classifier gives to a family."""
+def scan_licences(docs: DataFrame, model: Classifier | None = None, probability: float = PROBABILITY, similarity: float = SIMILARITY, unknown: bool = False) -> DataFrame:
+    """(doc_id, line, lines, family, probability, similarity, confirmed): every paragraph that the classifier gives to a family.
+
+    line: its first, from 0; lines: how many.  With `unknown`, the paragraphs of that class come too, with similarity 0.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
 
     def run(batches):
         model, templates = held.value, Templates()
         row_of = model.dense()
-        unknown = len(model.families) - 1
-        kinds = [pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.bool_()]
+        none = len(model.families) - 1
+        kinds = [pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.bool_()]
+
+        def said(lines: list[bytes]) -> tuple:
+            words = words_of(b" ".join(lines))
+            rows = row_of[gram_slots(words, model.bits)] if words else np.zeros(0, np.int32)
+            rows = rows[rows >= 0]
+            p = model.probabilities(rows) if len(rows) else None
+            best = none if p is None else int(p.argmax())
+            if best == none or p[best] < probability:
+                return UNKNOWN, 1.0 if p is None else float(p[none]), 0.0, False
+            s = templates.similarity(words, model.families[best])
+            return model.families[best], float(p[best]), float(s), s >= similarity
+
         for b in batches:
             at, found = [], []
             for k, text in enumerate(b.column(1).cast(pa.binary()).to_pylist()):
-                for n, line in enumerate(text.split(b"\n") if text else ()):
-                    words = words_of(line)
-                    rows = row_of[gram_slots(words, model.bits)] if words else np.zeros(0, np.int32)
-                    rows = rows[rows >= 0]
-                    if not len(rows):
-                        continue
-                    p = model.probabilities(rows)
-                    best = int(p.argmax())
-                    if best != unknown and p[best] >= probability:
-                        s = templates.similarity(words, model.families[best])
-                        at.append(k)
-                        found.append((n, model.families[best], float(p[best]), float(s), s >= similarity))
-            cols = list(zip(*found)) if found else [[]] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds))], ["doc_id", "line", "family", "probability", "similarity", "confirmed"])
+                for n, lines in paragraphs(text):
+                    each = [(n, len(lines), *said(lines))]
+                    if each[0][2] == UNKNOWN and len(lines) > 1:
+                        alone = [(n + j, 1, *said([line])) for j, line in enumerate(lines)]
+                        each = each if all(x[2] == UNKNOWN for x in alone) else [x for x in alone if x[2] != UNKNOWN]
+                    each = [x for x in each if unknown or x[2] != UNKNOWN]
+                    at += [k] * len(each)
+                    found += each
+            cols = list(zip(*found)) if found else [[]] * 6
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds))], ["doc_id", "line", "lines", "family", "probability", "similarity", "confirmed"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, line int, family string, probability double, similarity double, confirmed boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, line int, lines int, family string, probability double, similarity double, confirmed boolean")

@@ -466,6 +466,23 @@ def test_licences(spark):
     assert licences.scan_licences(docs(spark, [])).count() == 0
 
 
+def test_wrapped_licences(spark):
+    """Full wordings wrapped at 60 columns, between paragraphs of prose: found as one paragraph of their family."""
+    import textwrap
+
+    rng = random.Random(16)
+    prose = lambda: " ".join("".join(rng.choice(["ka", "lo", "the", "mi", "ren"]) for _ in range(3)) for _ in range(rng.randrange(4, 40)))
+    long = {f: max((t for t in ts if ". " not in t and ";" not in t), key=len) for f, ts in licences.TEMPLATES.items()}
+    texts = [prose() + ".\n\n" + prose() for _ in range(60)]
+    for k, f in enumerate(long):
+        texts[k] = prose() + ".\n\n" + "\n".join(textwrap.wrap(long[f], 60)) + "\n\n" + texts[k]
+    found = {r["doc_id"]: r for r in licences.scan_licences(docs(spark, texts)).where("confirmed").collect()}
+    assert {k: r["family"] for k, r in found.items()} == dict(enumerate(long))
+    assert all(found[k]["line"] == 2 and found[k]["lines"] == len(textwrap.wrap(t, 60)) for k, t in enumerate(long.values()))
+    everything = licences.scan_licences(docs(spark, texts[:3]), unknown=True).collect()
+    assert sum(r["family"] == "unknown" for r in everything) >= 6
+
+
 def test_components(spark):
     rng = random.Random(12)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(1000, 1100)] + [(5000, k) for k in range(5001, 5300)] + [(7, 7)]
