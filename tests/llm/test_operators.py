@@ -501,29 +501,62 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_pipeline_against_its_operators(spark, tmp_path):
+def test_pipeline_against_plain_python(spark, tmp_path):
+    """Rejects of each stage as plain Python finds them: no letters, toxic words, lines seen before, near copies; then every id in one piece."""
     import corpus_pipeline
 
     rng = random.Random(13)
-    words = [f"w{k}" for k in range(200)]
-    texts = ["\n".join(" ".join(rng.choice(words) for _ in range(12)) for _ in range(3)) for _ in range(60)]
+    words, bad = [f"w{k}" for k in range(200)], ["scum", "slur", "fool"]
+    lines = lambda n: [" ".join(rng.choice(words) for _ in range(12)) for _ in range(n)]
+    texts = ["\n".join(lines(3)) for _ in range(300)]
+    for k in range(100, 300, 2):
+        w = texts[k].split(" ")
+        for _ in range(6):
+            w.insert(rng.randrange(1, len(w)), rng.choice(bad))
+        texts[k] = " ".join(w)
+    toxic = set(range(100, 300, 2))
     texts[7] = None
-    texts[8] = texts[3]
     texts[9] = "123 456"
+    texts[8] = texts[3]
+    texts[11] = texts[11] + "\n" + texts[5].split("\n")[1]
+    first = [rng.choice(words) for _ in range(120)]
+    texts[20], texts[21] = " ".join(first), " ".join([*first[:50], "new", "pair", *first[52:]])
     df = docs(spark, texts)
-    df.drop("target", "line", "component").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(k, 1, 0) for k in range(0, 60, 2)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    df.select("*", F.lit(3).alias("bucket"), F.lit("x").alias("whole")).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, 1, int(k in toxic)) for k in range(0, 300)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     at = spark.read.parquet(str(tmp_path / "documents.parquet"))
     columns, seen = at.columns, []
     for name, stage in corpus_pipeline.STAGES:
         at = stage(spark, at, str(tmp_path))
         at.write.parquet(str(tmp_path / name))
         at = spark.read.parquet(str(tmp_path / name))
-        seen.append({r["doc_id"] for r in at.select("doc_id").collect()})
+        seen.append({r["doc_id"]: r for r in at.collect()})
         if name != "packing":
             assert at.columns == columns
-    clean = set(range(60)) - {7, 9}
-    assert seen[0] == clean and seen[1] == clean and seen[2] == clean - {8} and seen[3] == seen[4] == clean - {8}
-    got = corpus_pipeline.run(spark, str(tmp_path))
-    assert {r["doc_id"] for r in got.collect()} == seen[4]
-    assert F is not None
+    kept = set(range(300)) - {7, 9}
+    assert set(seen[0]) == kept
+    kept -= toxic
+    assert set(seen[1]) == kept
+    kept -= {8}
+    assert set(seen[2]) == kept
+    assert {k: seen[2][k]["text"] for k in kept} == {k: texts[k] if k != 11 else texts[11].rsplit("\n", 1)[0] for k in kept}
+    sets = {k: shingles(seen[2][k]["text"]) for k in kept}
+    comp = components(sets, lambda a, b: 100 * len(a & b) >= 75 * len(a | b))
+    kept = {k for k in kept if comp[k] == k}
+    assert set(seen[3]) == kept and 21 not in kept and 20 in kept
+    pieces = defaultdict(list)
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        pieces[r["doc_id"]].append(r)
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(PATH)
+    assert set(pieces) == kept
+    for k, rows in pieces.items():
+        ids = np.array(library_ids(library, seen[3][k]["text"]) + [0], "<u4")
+        for r in rows:
+            assert r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) and r["doc_tokens"] == len(ids)
+        assert sum(r["length"] for r in rows) == len(ids)
+    empty = tmp_path / "none"
+    df.where("false").write.parquet(str(empty / "documents.parquet"))
+    spark.read.parquet(str(tmp_path / "labels.parquet")).where("false").write.parquet(str(empty / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
