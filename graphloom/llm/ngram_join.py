@@ -294,7 +294,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 75, den: int
         "ngram-tokens",
     )
     found = [links]
-    comp = materialize(connected_components(_all(found)), "ngram-comp")
+    comp = None  # so far every representative is a component of its own
     for k in range(rounds):
         labelled = _labelled(tokens, comp)
         # first the class with the fewest shingles of its own, from which the others of a family derive; then any
@@ -328,7 +328,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 75, den: int
     found.append(known.where("linked and cls <> c").select(F.col("cls").alias("u"), F.col("c").alias("v")))
     old, comp = comp, materialize(connected_components(_all(found)), "ngram-comp")
     discard(old)
-    apart = materialize(_apart(_labelled(known, comp, "cls"), num, den), "ngram-pairs")
+    apart = known if known.isEmpty() else materialize(_apart(_labelled(known, comp, "cls"), num, den), "ngram-pairs")
     if not apart.isEmpty():
         last = materialize(_verified(apart, members, num, den), "ngram-links")
         if not last.isEmpty():
@@ -464,5 +464,7 @@ def _all(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _labelled(df: DataFrame, comp: DataFrame, on: str = "rep") -> DataFrame:
+def _labelled(df: DataFrame, comp: DataFrame | None, on: str = "rep") -> DataFrame:
+    if comp is None:
+        return df.withColumn("comp", F.col(on))
     return df.join(comp.select(F.col("node").alias(on), F.col("component").alias("comp")), on, "left").withColumn("comp", F.coalesce("comp", on))
