@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import Graph
+from .jobs import Runner
 from .operators import centrality, community, generators, layered_sphere, layout_force, layout_geometric, paths, structure
+from .sources.graphml import read_graphml, write_graphml
 
 # Menu category, command and title of the catalog.
 CATALOG: list[tuple[str, str, str]] = [
@@ -139,6 +141,36 @@ for _id, _kind in {"multilevel": "louvain", "leiden": "leiden", "walktrap": "wal
     COMMANDS[f"igraph_community_{_id}"] = lambda graph, _kind=_kind, **k: community.detect(graph, _kind, **k)
 
 
+@register("file_new")
+def _new(graph: Graph) -> Graph:
+    """A graph without vertices or edges."""
+    spark = graph.vertices.sparkSession
+    return Graph(spark.createDataFrame([], "id long"), spark.createDataFrame([], "src long, dst long"))
+
+
+@register("file_open")
+def _open(graph: Graph | None, path: str, spark: SparkSession | None = None, **options) -> Graph:
+    """The graph of a GraphML file; the graph open so far, or a session, says where to read."""
+    return read_graphml(spark or graph.vertices.sparkSession, path, **options)
+
+
+@register("file_save")
+def _save(graph: Graph, path: str) -> Graph:
+    """Writes GraphML to a folder that file_open reads, and gives the graph back."""
+    write_graphml(graph, path)
+    return graph
+
+
+@register("app_exit")
+def _exit(graph: Graph | None, runner: Runner) -> Runner:
+    """Cancels the jobs of a runner that have not ended and closes it; the session stays with its owner."""
+    for job in runner.jobs:
+        if job.status in ("PENDING", "RUNNING"):
+            runner.cancel(job)
+    runner.close()
+    return runner
+
+
 def run(graph: Graph, command_id: str, **options):
     """The result of a catalog command: a graph or a DataFrame."""
     if command_id not in COMMANDS:
