@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..graph import Graph
 from ..plans.fixpoint import differs, iterate
 from ..plans.storage import cut
 from .structure import degree as _degree
+from .structure import triangles
 
 
 def degree(graph: Graph) -> DataFrame:
@@ -88,12 +91,18 @@ def hits(graph: Graph, rounds: int = 100, tolerance: float = 1e-10, stride: int
 
 
 def constraint(graph: Graph) -> DataFrame:
-    """(id, score): Burt's constraint, the sum over neighbours j of (p_ij + sum_q p_iq p_qj)^2; null for isolated vertices."""
+    """(id, score): Burt's constraint, the sum over neighbours j of (p_ij + sum_q p_iq p_qj)^2; null for isolated vertices.
+
+    Ways over q count only where i and j are neighbours, so each lies in a triangle; triangles are listed from their
+    vertex of lowest degree, and a hub's wedges never all meet.
+    """
     a = cut(graph.both().where("u <> v").groupBy("u", "v").agg(F.sum("w").alias("w")))
     p = cut(a.join(a.groupBy("u").agg(F.sum("w").alias("t")), "u").select("u", "v", (F.col("w") / F.col("t")).alias("p")))
+    turns = F.array(*(F.struct(F.col(i).alias("i"), F.col(q).alias("q"), F.col(j).alias("j")) for i, q, j in permutations("abc")))
+    ways = triangles(graph).select(F.explode(turns).alias("t")).select("t.*")
     first = p.select(F.col("u").alias("i"), F.col("v").alias("q"), F.col("p").alias("p1"))
     second = p.select(F.col("u").alias("q"), F.col("v").alias("j"), F.col("p").alias("p2"))
-    by_way = first.join(second, "q").where("i <> j").groupBy("i", "j").agg(F.sum(F.col("p1") * F.col("p2")).alias("way"))
+    by_way = ways.join(first, ["i", "q"]).join(second, ["q", "j"]).groupBy("i", "j").agg(F.sum(F.col("p1") * F.col("p2")).alias("way"))
     direct = p.select(F.col("u").alias("i"), F.col("v").alias("j"), "p")
     c = direct.join(by_way, ["i", "j"], "left").groupBy(F.col("i").alias("id")).agg(F.sum((F.col("p") + F.coalesce("way", F.lit(0.0))) ** 2).alias("score"))
     return graph.vertices.select("id").join(c, "id", "left")

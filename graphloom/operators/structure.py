@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..functions.random import uniform
 from ..graph import Graph
 from ..plans.fixpoint import differs, iterate
 from ..plans.storage import cut, drop
 
+#: Edges of one component that a depth-first search takes in one task: some 400 bytes each in Python, 2 GB.
+SEARCH_EDGES = 5_000_000
+
 
 def degree(graph: Graph) -> DataFrame:
     """(id, degree): edges at either end, a loop counts twice."""
@@ -36,12 +40,14 @@ def connected_components(graph: Graph) -> DataFrame:
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = cut(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u")
-        new = cut(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
-        got = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        drop(large, e)
+        star = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        new = large.join(down, "u").select(F.explode(star).alias("e")).select("e.*").where("u <> v").distinct()
+        said = Observation()
+        new = cut(new.observe(said, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
+        got = (said.get["n"], said.get["h"])
+        drop(e)
         e = new
         if got == seen:
             break
@@ -51,16 +57,21 @@ def connected_components(graph: Graph) -> DataFrame:
 
 
 def coreness(graph: Graph, rounds: int = 1000) -> DataFrame:
-    """(id, coreness), mode all: the h-index fixpoint of Montresor et al. (2013)."""
+    """(id, coreness), mode all: the h-index fixpoint of Montresor et al. (2013).
+
+    Neighbours are counted by estimate before they are ranked, so a hub's window holds
+    one row for each distinct estimate.  Raises RuntimeError if not settled after `rounds`.
+    """
     near = cut(graph.both().where("u <> v").select("u", "v").distinct())
     start = near.groupBy(F.col("u").alias("id")).agg(F.count("*").cast("long").alias("est"))
 
     def step(s: DataFrame) -> DataFrame:
         j = near.join(s.select(F.col("id").alias("v"), "est"), "v")
-        rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("est")))
-        return j.select("u", "est", rank.alias("r")).groupBy(F.col("u").alias("id")).agg(F.max(F.least("est", "r")).cast("long").alias("est"))
+        counts = j.groupBy("u", "est").agg(F.count("*").alias("c"))
+        reach = F.sum("c").over(Window.partitionBy("u").orderBy(F.desc("est")))
+        return counts.select("u", "est", reach.alias("r")).groupBy(F.col("u").alias("id")).agg(F.max(F.least("est", "r")).cast("long").alias("est"))
 
-    done = iterate(start, step, rounds, differs("id", "est"), every=3)
+    done = iterate(start, step, rounds, differs("id", "est"), every=3, settle=True)
     return graph.vertices.select("id").join(done, "id", "left").select("id", F.coalesce("est", F.lit(0)).alias("coreness"))
 
 
@@ -165,10 +176,13 @@ def _lowpoints(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _cut_parts(graph: Graph) -> DataFrame:
-    """Depth-first search needs a component at once, so each runs in one task; trees hanging on were peeled off before."""
+    """Depth-first search needs a component at once, so each runs in one task, of at most SEARCH_EDGES edges."""
     g = graph.undirected()
-    comp = connected_components(g)
-    return g.edges.join(comp.withColumnRenamed("id", "src"), "src").groupBy("component").applyInPandas(_lowpoints, "kind string, a long, b long")
+    named = cut(g.edges.join(connected_components(g).withColumnRenamed("id", "src"), "src"))
+    most = named.groupBy("component").agg(F.count("*").alias("m")).agg(F.max("m")).first()[0] or 0
+    if most > SEARCH_EDGES:
+        raise ValueError(f"a component of {most} edges; depth-first search takes {SEARCH_EDGES}")
+    return named.groupBy("component").applyInPandas(_lowpoints, "kind string, a long, b long")
 
 
 def articulation_points(graph: Graph) -> DataFrame:
@@ -238,16 +252,16 @@ def assortativity(graph: Graph) -> DataFrame:
     return j.agg(F.corr(F.col("a").cast("double"), F.col("b").cast("double")).alias("assortativity"))
 
 
-def kmeans_hubs(graph: Graph, k: int = 8, rounds: int = 10, start: DataFrame | None = None) -> DataFrame:
+def kmeans_hubs(graph: Graph, k: int = 8, rounds: int = 10, start: DataFrame | None = None, seed: int = 1) -> DataFrame:
     """(hub, x, y, z): Lloyd rounds over edge midpoints; ties go to the lower hub, empty hubs stay.
 
-    start: (hub, x, y, z); by default the midpoints of the first k edges.  Hubs are few and broadcast.
+    start: (hub, x, y, z); by default the midpoints of k random edges.  Hubs are few and broadcast.
     """
     p = graph.vertices.select("id", "x", "y", "z")
     a, b = (p.select(F.col("id").alias(s), *(F.col(c).alias(f"{c}{s}") for c in "xyz")) for s in ("src", "dst"))
     mid = cut(graph.edges.select("src", "dst").join(a, "src").join(b, "dst").select("src", "dst", *(((F.col(f"{c}src") + F.col(f"{c}dst")) / 2).alias(c) for c in "xyz")))
     if start is None:
-        rows = mid.orderBy("src", "dst").limit(k).collect()
+        rows = mid.orderBy(F.expr(uniform("src", "dst", seed)), "src", "dst").limit(k).collect()
         hubs = [(i, r["x"], r["y"], r["z"]) for i, r in enumerate(rows)]
     else:
         hubs = sorted((r["hub"], r["x"], r["y"], r["z"]) for r in start.collect())

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from .storage import cut, drop
 
 
-def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int, changed: Callable[[DataFrame, DataFrame], bool] | None = None, every: int = 4, progress: Callable[[int, int], None] | None = None) -> DataFrame:
+def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: int, changed: Callable[[DataFrame, DataFrame], bool] | None = None, every: int = 4, progress: Callable[[int, int], None] | None = None, settle: bool = False) -> DataFrame:
     """step applied up to `rounds` times.
 
     Lineage is cut every `every` steps, so plans stay short and few jobs run; then
-    changed(before, after) may end the loop.
+    changed(before, after) may end the loop.  With settle, a loop that it never ended raises RuntimeError.
     """
     state = cut(state)
     done = 0
@@ -31,7 +31,9 @@ def iterate(state: DataFrame, step: Callable[[DataFrame], DataFrame], rounds: in
         drop(state)
         state = new
         if same:
-            break
+            return state
+    if settle:
+        raise RuntimeError(f"not settled after {rounds} rounds")
     return state
 
 

@@ -232,7 +232,7 @@ def test_catalog(spark):
     from graphloom.jobs import Runner
 
     assert registry.commands(spark).count() == 78
-    assert {c for _, c, _ in registry.CATALOG} - set(registry.COMMANDS) == {"file_new", "file_open", "file_save", "app_exit"}
+    assert {c for _, c, _ in registry.CATALOG} <= set(registry.COMMANDS)
     run = Runner(spark)
     job = run.submit(lambda: registry.run(generators.ring(spark), "igraph_degree").count())
     assert job.result(60) == 20 and job.status == "COMPLETED"
@@ -242,6 +242,59 @@ def test_catalog(spark):
     run.close()
 
 
+def test_file_commands(spark, tmp_path):
+    from graphloom.jobs import Runner
+
+    ring = generators.ring(spark, 6)
+    empty = registry.run(ring, "file_new")
+    assert empty.summary().first().asDict() == {"node_count": 0, "edge_count": 0}
+    assert registry.run(ring, "file_save", path=str(tmp_path / "ring")) is ring
+    assert pairs(registry.run(empty, "file_open", path=str(tmp_path / "ring"))) == pairs(ring)
+    assert pairs(registry.run(None, "file_open", path=str(tmp_path / "ring"), spark=spark)) == pairs(ring)
+    runner = registry.run(ring, "app_exit", runner=Runner(spark))
+    with pytest.raises(RuntimeError):
+        runner.submit(lambda: 1)
+
+
+def test_constraint_and_coreness_of_a_random_graph(spark):
+    """Against sums over all vertices, and against peeling; one hub sees every vertex, some vertices see only it."""
+    n = 40
+    draw = np.random.default_rng(3)
+    a = np.triu(draw.random((n, n)) < 0.12, 1)
+    a[:, 30:] = False
+    a[0, 1:] = True
+    a = a | a.T
+    edges = [(int(i), int(j)) for i, j in np.argwhere(np.triu(a))]
+    g = Graph(spark.range(n + 1), spark.createDataFrame(edges, "src long, dst long"))
+    p = a / a.sum(1, keepdims=True)
+    expect = np.where(a, (p + p @ p) ** 2, 0).sum(1)
+    got = scores(centrality.constraint(g))
+    assert got.pop(n) is None and np.allclose([got[k] for k in range(n)], expect)
+    core, left, k = {n: 0}, set(range(n)), 0
+    while left:
+        low = min(left, key=lambda v: a[v, list(left)].sum())
+        k = max(k, int(a[low, list(left)].sum()))
+        core[low] = k
+        left.remove(low)
+    assert scores(structure.coreness(g), "coreness") == core
+    with pytest.raises(RuntimeError):
+        structure.coreness(Graph.of_edges(spark.range(30).selectExpr("id as src", "id + 1 as dst")), rounds=3).count()
+
+
+def test_search_is_bounded(spark, monkeypatch):
+    assert structure.bridges(cliques(spark)).collect() == [(4, 5)]
+    monkeypatch.setattr(structure, "SEARCH_EDGES", 10)
+    with pytest.raises(ValueError):
+        structure.bridges(cliques(spark))
+
+
+def test_hubs_start_at_random_edges(spark):
+    g = generators.lattice(spark)
+    g = layout_geometric.sync_positions(g, layout_geometric.grid(g.vertices, 25, 5))
+    one, two = ({tuple(r) for r in structure.kmeans_hubs(g, k=4, rounds=0, seed=s).collect()} for s in (1, 2))
+    assert len(one) == len(two) == 4 and one != two
+
+
 def test_ordering(spark):
     from graphloom.plans.ordering import dense_ids, running_sum, successors
 
