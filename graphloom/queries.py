@@ -48,7 +48,9 @@ ENDS = "v AS (SELECT src AS id FROM e UNION SELECT dst FROM e)"
 #: The hand-off graph of purchases.
 D1 = f"""h AS (SELECT user_id AS s, lead(user_id) OVER (ORDER BY ts, event_id) AS t FROM events WHERE event_type = 'purchase'),
 e AS MATERIALIZED (SELECT DISTINCT s AS src, t AS dst FROM h WHERE t IS NOT NULL AND s <> t), {ENDS}, {BOTH}"""
-#: The same without directions.
+#: The hand-off graph of all events.
+D2 = D1.replace(" WHERE event_type = 'purchase'", "")
+#: The hand-off graph of purchases without directions.
 D1U = D1.replace("SELECT DISTINCT s AS src, t AS dst", "SELECT DISTINCT least(s, t) AS src, greatest(s, t) AS dst")
 #: Parts of urgent orders that came back together.
 D3 = f"""l AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem JOIN orders ON o_orderkey = l_orderkey
@@ -97,16 +99,24 @@ def _(spark, d):
     return rounded(centrality.apply_centrality(centrality.degree(d1(spark, d))), "size", "glow")
 
 
-@query("pagerank", f"""WITH RECURSIVE {D1}, o AS (SELECT src, count(*) AS d FROM e GROUP BY src), n AS (SELECT count(*) AS n FROM v),
+PAGERANK = f"""o AS (SELECT src, count(*) AS d FROM e GROUP BY src), n AS (SELECT count(*) AS n FROM v),
 k(i, id, x) AS (SELECT 0, id, 1.0::DOUBLE / n FROM v, n UNION ALL
   SELECT z.i, z.id, 0.15 / n + 0.85 * (z.got + z.lost / n) FROM n, (
     SELECT c.i + 1 AS i, v.id, sum(CASE WHEN c.id = e.src THEN c.x / o.d ELSE 0 END) AS got,
       0.0 AS lost FROM (SELECT DISTINCT i FROM k) q JOIN k c ON c.i = q.i CROSS JOIN v LEFT JOIN e ON e.dst = v.id AND e.src = c.id LEFT JOIN o ON o.src = e.src WHERE c.i < 60 GROUP BY 1, 2) z)
-SELECT id, {r('x')} AS score FROM k WHERE i = 60""".replace("(SELECT DISTINCT i FROM k) q JOIN k c ON c.i = q.i", "k c"))
+SELECT id, {r('x')} AS score FROM k WHERE i = 60""".replace("(SELECT DISTINCT i FROM k) q JOIN k c ON c.i = q.i", "k c")
+
+
+@query("pagerank", f"WITH RECURSIVE {D1}, {PAGERANK}")
 def _(spark, d):
     return rounded(centrality.pagerank(d1(spark, d), rounds=100), "score")
 
 
+@query("pagerank_all_events", f"WITH RECURSIVE {D2}, {PAGERANK}")
+def _(spark, d):
+    return rounded(centrality.pagerank(derive.hand_off(spark, d, None), rounds=100), "score")
+
+
 @query("eigenvector", f"""WITH RECURSIVE {D1U}, k(i, id, x) AS (SELECT 0, id, 1.0::DOUBLE FROM v UNION ALL
   SELECT i, id, y / max(y) OVER () FROM (SELECT c.i + 1 AS i, v.id, sum(CASE WHEN b.u IS NOT NULL OR c.id = v.id THEN c.x ELSE 0 END) AS y
     FROM k c CROSS JOIN v LEFT JOIN b ON b.u = v.id AND b.v = c.id WHERE c.i < 200 GROUP BY 1, 2))
@@ -295,17 +305,17 @@ def _(spark, d):
 
 KM0 = "h0 AS (SELECT (y * 5 + x) AS hub, x::DOUBLE AS x, y::DOUBLE AS y, 0.0::DOUBLE AS z FROM g WHERE y * 5 + x IN (0, 12, 24))"
 _kmeans = ["WITH g AS (SELECT x, y FROM (SELECT unnest(range(5)) AS x) CROSS JOIN (SELECT unnest(range(5)) AS y))", "m AS (SELECT x + 0.5::DOUBLE AS x, y::DOUBLE AS y FROM g WHERE x < 4 UNION ALL SELECT x::DOUBLE, y + 0.5::DOUBLE FROM g WHERE y < 4)", KM0]
-for _k in range(4):
+for _k in range(10):
     _kmeans.append(f"a{_k} AS (SELECT m.x, m.y, arg_min(h.hub, (round((m.x - h.x) ** 2 + (m.y - h.y) ** 2, 9), h.hub)) AS hub FROM m, h{_k} h GROUP BY m.x, m.y)")
     _kmeans.append(f"h{_k + 1} AS (SELECT h.hub, coalesce(avg(a.x), any_value(h.x)) AS x, coalesce(avg(a.y), any_value(h.y)) AS y, 0.0::DOUBLE AS z FROM h{_k} h LEFT JOIN a{_k} a ON a.hub = h.hub GROUP BY h.hub)")
 
 
-@query("kmeans_hubs", ", ".join(_kmeans) + f" SELECT hub, {r('x')} AS x, {r('y')} AS y, z FROM h4")
+@query("kmeans_hubs", ", ".join(_kmeans) + f" SELECT hub, {r('x')} AS x, {r('y')} AS y, z FROM h10")
 def _(spark, d):
     g = generators.lattice(spark)
     g = layout_geometric.sync_positions(g, layout_geometric.grid(g.vertices, 25, 5))
     start = g.vertices.where("id in (0, 12, 24)").select(F.col("id").alias("hub"), "x", "y", "z")
-    return rounded(structure.kmeans_hubs(g, rounds=4, start=start), "x", "y", "z")
+    return rounded(structure.kmeans_hubs(g, start=start), "x", "y", "z")
 
 
 @query("simplify", f"WITH {D1U} SELECT src, dst FROM e")
