@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from itertools import count
 
 import numpy as np
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tables written between two collections of the driver's garbage.
+COLLECT = 12
+_written = count(1)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,6 +38,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if next(_written) % COLLECT == 0:
+        # plans of finished rounds hang on Python's objects, and broadcasts and shuffles on those plans
+        gc.collect()
+        spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._graphloom_path = path
     return out
