@@ -307,7 +307,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 75, den: int
         linked = new.count() if tried else 0
         if linked:
             found.append(new)
-            old, comp = comp, materialize(connected_components(_all(found)), "ngram-comp")
+            old, (comp, found) = comp, _settled(found)
             discard(old)
         if linked < WORTH * tried or not tried:
             break
@@ -326,14 +326,13 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, num: int = 75, den: int
     named = families.union(around).distinct().join(roster, "rep").select("c", "cls").distinct()
     known = materialize(_measured(named, members, num, den), "ngram-families")
     found.append(known.where("linked and cls <> c").select(F.col("cls").alias("u"), F.col("c").alias("v")))
-    old, comp = comp, materialize(connected_components(_all(found)), "ngram-comp")
+    old, (comp, found) = comp, _settled(found)
     discard(old)
     apart = known if known.isEmpty() else materialize(_apart(_labelled(known, comp, "cls"), num, den), "ngram-pairs")
     if not apart.isEmpty():
         last = materialize(_verified(apart, members, num, den), "ngram-links")
         if not last.isEmpty():
-            found.append(last)
-            comp = materialize(connected_components(_all(found)), "ngram-comp")
+            comp, _ = _settled([*found, last])
     members_of = seen.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("cls"), F.col("n").alias("n_shingles"))
     first = members_of.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("first"))
     named = first.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "first", F.coalesce("component", "cls").alias("comp"))
@@ -457,6 +456,12 @@ def _apart(known: DataFrame, num: int, den: int) -> DataFrame:
     return outside.union(inside).distinct()
 
 
+def _settled(links: list[DataFrame]) -> tuple[DataFrame, list[DataFrame]]:
+    """(node, component) under the links, and links from node to component, which connect the same and take their place."""
+    comp = materialize(connected_components(_all(links)), "ngram-comp")
+    return comp, [comp.select(F.col("node").alias("u"), F.col("component").alias("v"))]
+
+
 def _all(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
