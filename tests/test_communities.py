@@ -31,3 +31,30 @@ def test_infomap_deals_its_trials(spark):
     # no single move shortens the description
     member, bits = community._described(net, 1)
     assert abs(bits - community.map_equation(net, member)) < 1e-9
+
+
+def test_voronoi_needs_no_matrix_of_distances(spark):
+    n = 60
+    e = randomly(n, 110, 3)
+    net = community.Net(n, e[:, 0], e[:, 1], np.random.default_rng(4).uniform(0.5, 2, len(e)))
+    cells = community.Cells(net)
+    far = np.full((n, n), np.inf)
+    for x, d in enumerate(cells.lengths):
+        far[x, x] = 0
+        for y, w in d:
+            far[x, y] = w
+    for k in range(n):
+        far = np.minimum(far, far[:, k : k + 1] + far[k : k + 1])
+    for r in (0.0, 0.7, 1.5, 3.0, 1e9):
+        seeds = []
+        for x in cells.order:
+            if not any(far[s, x] <= r for s in seeds):
+                seeds.append(x)
+        plain = community.dense(np.array(seeds)[far[seeds].argmin(0)])
+        assert cells.split(r)[0].tolist() == plain.tolist()
+    # 20,000 vertices: their distances would be 3.2 GB
+    ring = np.array([(c * 5 + a, c * 5 + b) for c in range(4000) for a in range(5) for b in range(a)] + [(c * 5, (c * 5 + 5) % 20000) for c in range(4000)])
+    big = community.Net(20000, ring[:, 0], ring[:, 1])
+    assert big.modularity(community.voronoi(big)) > 0.9
+    got = community.detect(of(spark, n, e), "voronoi").toPandas().sort_values("id")
+    assert got["community"].tolist() == community.voronoi(community.Net(n, e[:, 0], e[:, 1])).tolist()
