@@ -58,3 +58,28 @@ def test_voronoi_needs_no_matrix_of_distances(spark):
     assert big.modularity(community.voronoi(big)) > 0.9
     got = community.detect(of(spark, n, e), "voronoi").toPandas().sort_values("id")
     assert got["community"].tolist() == community.voronoi(community.Net(n, e[:, 0], e[:, 1])).tolist()
+
+
+def test_fast_greedy_takes_the_greatest_gain():
+    for seed in range(3):
+        e = randomly(40, 70, seed)
+        net = community.Net(40, e[:, 0], e[:, 1], np.random.default_rng(seed).uniform(0.5, 2, len(e)))
+        member = np.arange(40)
+        best, best_q = member, net.modularity(member)
+        while True:  # by brute force
+            links = {tuple(sorted((member[u], member[v]))) for u, v in zip(net.u, net.v) if member[u] != member[v]}
+            if not links:
+                break
+            member = max((np.where(member == y, x, member) for x, y in sorted(links)), key=net.modularity)
+            if net.modularity(member) > best_q + 1e-12:
+                best, best_q = member, net.modularity(member)
+        assert community.fast_greedy(net, block=8).tolist() == community.dense(best).tolist()
+
+
+def test_fast_greedy_around_a_hub():
+    n = 8000
+    e = np.array([(0, k) for k in range(1, n)])
+    began = time.time()
+    net = community.Net(n, e[:, 0], e[:, 1])
+    assert net.modularity(community.fast_greedy(net)) >= -1e-9
+    assert time.time() - began < 20  # each merge used to walk all links of the hub in Python
