@@ -83,3 +83,16 @@ def test_fast_greedy_around_a_hub():
     net = community.Net(n, e[:, 0], e[:, 1])
     assert net.modularity(community.fast_greedy(net)) >= -1e-9
     assert time.time() - began < 20  # each merge used to walk all links of the hub in Python
+
+
+def test_leading_eigenvector_builds_no_matrix():
+    e = randomly(120, 400, 5)
+    net = community.Net(120, e[:, 0], e[:, 1], np.random.default_rng(6).uniform(0.5, 2, len(e)))
+    plain = community.leading_eigenvector(net)
+    assert community.leading_eigenvector(net, whole=1).tolist() == plain.tolist()
+    # 50,000 vertices: a matrix would take 20 GB
+    n = 50000
+    ring = np.array([(c * 5 + a, c * 5 + b) for c in range(n // 5) for a in range(5) for b in range(a)] + [(c * 5, c * 5 + 5) for c in range(n // 5 - 1) if c % 100 < 99])
+    big = community.Net(n, ring[:, 0], ring[:, 1])
+    member = community.leading_eigenvector(big, steps=20)
+    assert len(member) == n and big.modularity(member) > 0.9
