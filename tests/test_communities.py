@@ -4,6 +4,7 @@ import time
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from graphloom.graph import Graph
 from graphloom.operators import community
@@ -96,3 +97,34 @@ def test_leading_eigenvector_builds_no_matrix():
     big = community.Net(n, ring[:, 0], ring[:, 1])
     member = community.leading_eigenvector(big, steps=20)
     assert len(member) == n and big.modularity(member) > 0.9
+
+
+def test_walktrap_holds_no_matrix():
+    e = randomly(40, 70, 2)
+    net = community.Net(40, e[:, 0], e[:, 1])
+    p = np.zeros((40, 40))
+    for x, d in enumerate(net.near):
+        p[x, list(d)] = 1
+        p[x, x] = 1
+    walk = np.linalg.matrix_power(p / p.sum(1, keepdims=True), 4) / np.sqrt(np.maximum(net.degree, 1e-12))
+    groups = {x: [x] for x in range(40)}
+    best, best_q = np.arange(40), net.modularity(np.arange(40))
+    far = lambda a, b: len(a) * len(b) / (len(a) + len(b)) * ((walk[a].mean(0) - walk[b].mean(0)) ** 2).sum()
+    while True:  # by brute force
+        linked = [(a, b) for a in groups for b in groups if a < b and any(y in net.near[x] for x in groups[a] for y in groups[b])]
+        if not linked:
+            break
+        a, b = min(linked, key=lambda k: far(groups[k[0]], groups[k[1]]))
+        groups[a] = groups[a] + groups.pop(b)
+        member = np.zeros(40, int)
+        for k, g in groups.items():
+            member[g] = k
+        if net.modularity(member) > best_q + 1e-12:
+            best, best_q = member, net.modularity(member)
+    assert net.modularity(community.walktrap(net)) == best_q
+    # 15,000 vertices: a matrix would take 1.8 GB
+    ring = np.array([(c * 5 + a, c * 5 + b) for c in range(3000) for a in range(5) for b in range(a)] + [(c * 5, (c * 5 + 5) % 15000) for c in range(3000)])
+    big = community.Net(15000, ring[:, 0], ring[:, 1])
+    assert big.modularity(community.walktrap(big)) > 0.9
+    with pytest.raises(ValueError):
+        community.walktrap(big, cells=1000)
