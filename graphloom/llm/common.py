@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 
 #: Tables written between two collections of the driver's garbage.
-COLLECT = 12
+COLLECT = 4
 _written = count(1)
 
 
