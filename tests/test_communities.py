@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from graphloom.graph import Graph
-from graphloom.operators import community
+from graphloom.operators import community, paths
 
 
 def randomly(n, m, seed=0):
@@ -128,3 +128,15 @@ def test_walktrap_holds_no_matrix():
     assert big.modularity(community.walktrap(big)) > 0.9
     with pytest.raises(ValueError):
         community.walktrap(big, cells=1000)
+
+
+def test_distances_of_many_sources_at_a_time(spark, tmp_path):
+    n = 700
+    e = randomly(n, 1000, 8)
+    g = Graph(spark.range(n), spark.createDataFrame(pd.DataFrame(e, columns=["src", "dst"])), True)
+    net = paths.csr(g)
+    out = paths.distances(g)
+    got = {(r["source"], r["id"]): r["hops"] for r in out.collect()}
+    assert got == {(s, v): h for s in range(n) for v, h in enumerate(net.hops(s).tolist()) if h >= 0}
+    d = net.hops_of(np.arange(64))
+    assert all(d[:, k].tolist() == net.hops(k).tolist() for k in range(64))
