@@ -1,5 +1,6 @@
 """Communities of graphs that the square of their vertices, or a loop in one task, does not fit."""
 
+import inspect
 import time
 
 import numpy as np
@@ -130,6 +131,16 @@ def test_walktrap_holds_no_matrix():
         community.walktrap(big, cells=1000)
 
 
+def test_walktrap_refuses_no_number_of_pairs():
+    # rows beyond the room are walked anew, where more than a number of pairs used to be refused
+    for n, e in ((300, randomly(300, 900, 7)), (400, np.array([(0, k) for k in range(1, 400)])), (120, randomly(120, 130, 9))):
+        net = community.Net(n, e[:, 0], e[:, 1], np.random.default_rng(1).uniform(0.5, 2, len(e)))
+        plain = community.walktrap(net).tolist()
+        for room in (0, 4 * n, n * n):
+            assert community.walktrap(net, room=room).tolist() == plain
+    assert inspect.signature(community.walktrap).parameters["cells"].default is None
+
+
 def test_distances_of_many_sources_at_a_time(spark, tmp_path):
     n = 700
     e = randomly(n, 1000, 8)
